@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lonja.llm import exact_dedup, minhash, mixing, packing, toxicity
 from lonja.llm.common import documents, written
-from lonja.llm.queries import tokenizer
+from lonja.llm.queries import byte_bpe
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with the sequence and the place in it that they take."""
-    return packing.pack(packing.encoded(docs, tokenizer("byte_bpe_50k.json")))
+    return packing.pack(packing.encoded(docs, byte_bpe()))
 
 
 STAGES = [

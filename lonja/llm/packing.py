@@ -5,15 +5,13 @@ shards of about `pieces_per_shard` pieces by hash. Each shard is packed by best
 bins are kept by remaining capacity under a segment tree over capacities, which gives the tightest bin
 that still fits in logarithmic time. A shard leaves at most one badly filled bin, one in thousands.
 
-Encoding: white space never joins a token with what stands before it, so a text is cut at white space,
-each distinct chunk is encoded once per worker (a bounded memo) and a text's ids are the concatenation.
-
 Defined results: null or empty text is the end id alone; rows that repeat are separate documents; a text
 longer than a sequence is cut into pieces, the first of which holds the remainder. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,33 +23,32 @@ from pyspark.sql import functions as F
 
 from lonja.llm.common import written
 
-LENGTH, END, MEMO = 2048, 0, 200_000
-#: Unicode White_Space, as the tokenizer's pattern means it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+LENGTH, END, RUN = 2048, 0, 2000
+_LONG = re.compile(rf"\s{{{RUN}}}|\S{{{RUN}}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids; chunks seen before come from a memo of bounded size."""
+    """Texts to little-endian unsigned 32-bit ids of a byte-level vocabulary.
+
+    The vocabulary comes twice: as ranks, which encode ordinary texts fast, and as a tokenizer file. Both
+    give the same ids; the second takes texts with runs so long that the first's pattern could overflow.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(ranks, "rb") as f:
+            own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=own, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        memo = self.memo
-        if new := [c for c in set(chunks) if c not in memo]:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(memo.__getitem__, chunks))
+        if len(text) > RUN and _LONG.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def pieces_of(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, bytes]]:
@@ -62,11 +59,11 @@ def pieces_of(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, bytes]]:
     return [(a, b - a, ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def encoded(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """A row per piece; with_ids adds the token ids themselves."""
+def encoded(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """A row per piece; with_ids adds the token ids themselves. tokenizer: tokenizer file, ranks file, pattern."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = Encoder(tokenizer), np.asarray([END], dtype="<u4").tobytes()
+        encode, end = Encoder(*tokenizer), np.asarray([END], dtype="<u4").tobytes()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"]):

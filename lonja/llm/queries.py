@@ -17,6 +17,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_bpe() -> tuple[str, str, str]:
+    """Tokenizer file, ranks file and pattern of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -47,7 +54,7 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.encoded(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
+    return packing.pack(packing.encoded(documents(spark, sf_dir), byte_bpe()))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

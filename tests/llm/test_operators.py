@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja.llm import exact_dedup, lattice_lm, minhash, mixing, packing, pii, sharding, suffix_dedup, topk, toxicity
-from lonja.llm.queries import tokenizer
+from lonja.llm.queries import byte_bpe, tokenizer
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, run int, size string, node string, keep_id long"
@@ -308,7 +308,7 @@ def test_packing(spark, docs, rows, real):
             ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
             total += len(ids)
             want[d, zlib.crc32(np.asarray(ids, "<u4").tobytes())] += 1
-        out = packing.pack(packing.encoded(df, tokenizer("byte_bpe_50k.json"), with_ids=True)).toPandas()
+        out = packing.pack(packing.encoded(df, byte_bpe(), with_ids=True)).toPandas()
         assert out["length"].sum() == total and out["length"].max() <= 2048
         for _, g in out.sort_values("offset").groupby("sequence_id"):
             assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 2048
@@ -317,18 +317,18 @@ def test_packing(spark, docs, rows, real):
         once = out[~out["doc_id"].isin([3, 70]) & out["doc_id"].notna()]
         for d, g in once.sort_values("piece").groupby("doc_id"):
             assert (d, zlib.crc32(np.asarray(sum(map(list, g["ids"]), []), "<u4").tobytes())) in want and (g["start"] == g["length"].cumsum() - g["length"]).all()
-    assert packing.pack(packing.encoded(empty(spark), tokenizer("byte_bpe_50k.json"))).count() == 0
+    assert packing.pack(packing.encoded(empty(spark), byte_bpe())).count() == 0
 
 
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     path = tokenizer("byte_bpe_50k.json")
-    t, e, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(8)
+    t, e, rng = Tokenizer.from_file(path), packing.Encoder(*byte_bpe()), random.Random(8)
     t.encode_special_tokens = True
     bits = [" ", "  ", "\n", "\t", "a", "don't", "'s", "Ñ", "12", "!?", " ", " ", "　", "\x1c", "\x85", "<|endoftext|>", "x y", "\r\n", "日本", "🙂", "​", "\x00"]
-    for _ in range(3000):
-        s = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 14)))
+    long = ["^" * 3000, " " * 100000, "a" * 3000, "ab " * 5000, "x" + "\n" * 5000 + "y", "1" * 1999]
+    for s in [*long, *("".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(3000))]:
         assert np.frombuffer(e(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
 
 
