@@ -22,14 +22,33 @@ def shared_folder(spark: SparkSession) -> str:
     return held
 
 
+#: Lets Spark remove a query's shuffle files when it ends, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs no earlier step."""
+    """df as a table in the shared folder: its lineage ends there, so a lost executor costs no earlier step.
+
+    Its shuffle files are of no more use then and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Removes a table that `written` made, once what was built on it is itself written."""
+    for file in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

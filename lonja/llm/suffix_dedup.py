@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.llm.common import whole, written
+from lonja.llm.common import discarded, whole, written
 
 DEPTH, GRAM = 50, 16
 _U = np.uint64
@@ -127,11 +127,11 @@ def _later_passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(pdf: pd.DataFrame) -> pd.DataFrame:
         contexts, own, out = [bytes(c) for c in pdf["context"]], pdf["least"].to_numpy(), []
         found = refine(pd.factorize(pdf["digit"])[0], contexts, own)
-        for digit, c, o, n, m in zip(pdf["digit"], contexts, own, pdf["n"], found):
+        for digit, c, o, n, m in zip(pdf["digit"], pdf["mark"], own, pdf["n"], found):
             if n > 1 or (m != o).any():
                 cut = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
                 out.append((digit, c, np.stack([cut, np.append(cut[1:], len(m)), m[cut]], axis=1).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["digit", "context", "spans"])
+        return pd.DataFrame(out, columns=["digit", "mark", "spans"])
 
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -184,7 +184,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("sha", "v").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n"))
     looked_at = written(first.filter(F.col("first_id").isNotNull() & (F.col("n") >= DEPTH)).select(F.col("first_id").alias("doc_id"), "v"), "looked-at")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange of the texts by doc_id, which all three joins below use.
     texts = own.filter(F.col("doc_id").isNotNull()).select("doc_id", "v", "sha", "text").repartition(parts, "doc_id", "v").join(looked_at, ["doc_id", "v"], "left_semi")
 
     by_digit = Window.partitionBy("digit")
@@ -193,11 +192,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     lists = written(shared.groupBy("doc_id", "v").agg(F.collect_list("digit").alias("digits")), "digits")
 
     carried = texts.join(lists, ["doc_id", "v"]).select("doc_id", "v", "text", "digits").mapInPandas(_with_bytes, "digit long, context binary, doc_id long, v int, start int")
-    carried = written(carried, "runs")
-    distinct = carried.groupBy("digit", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    spans = distinct.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, context binary, spans binary")
-    found = carried.join(spans, ["digit", "context"]).select("doc_id", "v", "start", "spans").mapInPandas(_intervals, "doc_id long, v int, a long, b long")
+    carried = kept_runs = written(carried, "runs")
+    # Within a digit, 64 more bits name a run's bytes where only equality counts.
+    carried = carried.withColumn("mark", F.xxhash64("context"))
+    distinct = carried.groupBy("digit", "mark", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    spans = distinct.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, mark long, spans binary")
+    found = carried.drop("context").join(spans, ["digit", "mark"]).select("doc_id", "v", "start", "spans").mapInPandas(_intervals, "doc_id long, v int, a long, b long")
     found = written(found.groupBy("doc_id", "v").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "intervals")
+    discarded(kept_runs)
+    discarded(lists)
     cut = texts.join(found, ["doc_id", "v"]).select("doc_id", "sha", "text", "a", "b").mapInPandas(_removed, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.dropDuplicates(["doc_id", "sha"]).select("doc_id", "sha", "n_removed", "n_spans", F.col("kept_sha256").alias("rest"))
 
