@@ -9,7 +9,8 @@ No pairs are expanded within a bucket. Texts with the same shingle set collapse
 bucket then gives a star (its smallest node against the others); stars are verified on full sets and
 joined into components. Buckets that still hold more than one component are gone through whole, in cells
 of bounded size: nodes outside the bucket's main component against all of its nodes, each pair being
-compared only while the two are in different components.
+compared only while the two are in different components. A first round takes one chunk of the nodes to
+compare with, which joins nearly all; the second takes all of them for what is left.
 
 Defined results: null and empty texts, and texts without words, have no shingles, link with nothing and
 are kept. Rows that repeat a doc_id with one text are one node and are flagged alike. Null doc_ids are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lonja.llm.common import written
 from lonja.llm.components import components
 
-ROWS, MEMO, CELL = 4, 500_000, 64
+ROWS, MEMO, CELL = 4, 500_000, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -116,11 +117,11 @@ def _sets(width: int):
         memo = WordHash()
         for pdf in batches:
             out = []
-            for node, t in zip(pdf["node"], pdf["text"]):
+            for node, t, keys in zip(pdf["node"], pdf["text"], pdf["keys"]):
                 s = shingle_set(t, width, memo).tobytes()
                 if xxhash.xxh3_128_digest(s) == bytes(node):  # a doc_id may name several texts
-                    out.append((bytes(node), s))
-            yield pd.DataFrame(out, columns=["node", "shingles"])
+                    out.append((bytes(node), s, keys))
+            yield pd.DataFrame(out, columns=["node", "shingles", "keys"])
 
     return run
 
@@ -146,18 +147,47 @@ def _cell(percent: int):
                 x = root[x]
             return x
 
-        rows = [(x, bytes(n), bytes(l), np.frombuffer(s, np.uint64)) for x, n, l, s in zip(pdf["x"], pdf["node"], pdf["label"], pdf["shingles"])]
-        out = []
-        for _, n, l, s in (r for r in rows if r[0]):
-            for _, m, k, t in (r for r in rows if not r[0]):
-                if find(l) != find(k) and linked(s, t, percent):
-                    out.append((n, m))
-                    root[find(l)] = find(k)
+        band, sets = int(pdf["band"].iloc[0]), [frozenset(np.frombuffer(x, np.uint64).tolist()) for x in pdf["shingles"]]
+        keys = np.stack(pdf["keys"].tolist())[:, :band]
+        names, labels = [bytes(n) for n in pdf["node"]], [bytes(l) for l in pdf["label"]]
+        side = pdf["x"].to_numpy(dtype=bool)
+        size = np.array([len(x) for x in sets])
+        ys, out = np.flatnonzero(~side), []
+        for i in np.flatnonzero(side).tolist():
+            fits = 100 * np.minimum(size[ys], size[i]) >= percent * np.maximum(size[ys], size[i])
+            seen = (keys[ys] == keys[i]).any(axis=1)  # together in an earlier band, which compares them
+            for j in ys[fits & ~seen].tolist():
+                if find(labels[i]) != find(labels[j]):
+                    both = len(sets[i] & sets[j])
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        out.append((names[i], names[j]))
+                        root[find(labels[i])] = find(labels[j])
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
+def _across(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, sampled: bool) -> DataFrame:
+    """Links found in buckets that hold several components: nodes outside the main one against all nodes of the bucket.
+
+    sampled: against one chunk of them only, which settles nearly all at a cost in proportion to the bucket.
+    """
+    labelled = members.filter("m > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("band", "key").agg(
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("y"),
+        F.max(F.when(F.col("node") == F.col("hub.node"), F.col("label"))).alias("main"),
+    ).filter("l0 <> l1")
+    once = mixed.groupBy("size", "x", "y").agg(F.min(F.struct("band", "key", "main")).alias("b")).select("b.*", "size")  # buckets of the same nodes count once
+    rest = written(labelled.select("band", "key", "node", "label").join(once, ["band", "key"]), "rest")
+    others = rest.filter("label <> main").groupBy("band", "key").agg(F.count("*").alias("others"))
+    rest = rest.join(others, ["band", "key"])
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / CELL)).cast("long")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CELL) - 1))
+    xs = rest.filter("label <> main").select("band", "key", "node", "label", F.lit(True).alias("x"), chunk("others").alias("i"), F.lit(0).cast("long").alias("j") if sampled else upto("size").alias("j"))
+    ys = rest.withColumn("j", chunk("size")).filter("j = 0" if sampled else "true").select("band", "key", "node", "label", F.lit(False).alias("x"), upto("others").alias("i"), "j")
+    return xs.unionByName(ys).join(sets, "node").groupBy("band", "key", "i", "j").applyInPandas(_cell(percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bands = bands_for(percent)
@@ -168,28 +198,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     members = written(spread.join(buckets, ["band", "key"]).select("band", "key", "m", "hub", "node", "n"), "members")
     wide = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     stars = members.filter((F.col("node") != F.col("hub.node")) & wide).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "least_id", "keys"), "node")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")))
-    sets = written(texts.select("node", "text").mapInPandas(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = written(texts.select("node", "text", "keys").mapInPandas(_sets(width), "node binary, shingles binary, keys array<long>").dropDuplicates(["node"]), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     links = written(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInPandas(_verifier(percent), "a binary, b binary"), "links")
     label = written(components(links), "labels")
 
-    labelled = members.filter("m > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band", "key").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("y"),
-        F.max(F.when(F.col("node") == F.col("hub.node"), F.col("label"))).alias("main"),
-    ).filter("l0 <> l1")
-    once = mixed.groupBy("size", "x", "y").agg(F.min(F.struct("band", "key", "main")).alias("b")).select("b.*", "size")  # buckets of the same nodes count once
-    rest = written(labelled.select("band", "key", "node", "label").join(once, ["band", "key"]), "rest")
-    others = rest.filter("label <> main").groupBy("band", "key").agg(F.count("*").alias("others"))
-    rest = rest.join(others, ["band", "key"])
-    chunk = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / CELL)).cast("long")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CELL) - 1))
-    xs = rest.filter("label <> main").select("band", "key", "node", "label", F.lit(True).alias("x"), chunk("others").alias("i"), upto("size").alias("j"))
-    ys = rest.select("band", "key", "node", "label", F.lit(False).alias("x"), upto("others").alias("i"), chunk("size").alias("j"))
-    more = xs.unionByName(ys).join(sets, "node").groupBy("band", "key", "i", "j").applyInPandas(_cell(percent), "a binary, b binary")
-    label = written(components(written(links.unionAll(more), "links")), "labels")
+    for sampled in (True, False):
+        links = written(links.unionAll(_across(members, label, sets, percent, sampled)), "links")
+        label = written(components(links), "labels")
 
     named = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
