@@ -188,6 +188,15 @@ def _across(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int,
     return xs.unionByName(ys).join(sets, "node").groupBy("band", "key", "i", "j").applyInPandas(_cell(percent), "a binary, b binary")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once these links count too: components of components, so only what the links touch is gone through."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = written(components(ends), "moved").withColumnRenamed("node", "old").withColumnRenamed("label", "new")
+    was = label.unionAll(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return was.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bands = bands_for(percent)
@@ -206,8 +215,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     label = written(components(links), "labels")
 
     for sampled in (True, False):
-        links = written(links.unionAll(_across(members, label, sets, percent, sampled)), "links")
-        label = written(components(links), "labels")
+        found = written(_across(members, label, sets, percent, sampled), "links")
+        if not found.isEmpty():
+            label = written(_joined(label, found), "labels")
 
     named = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
