@@ -193,14 +193,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     carried = texts.join(lists, ["doc_id", "v"]).select("doc_id", "v", "text", "digits").mapInPandas(_with_bytes, "digit long, context binary, doc_id long, v int, start int")
     carried = kept_runs = written(carried, "runs")
+    discarded(lists)
     # Within a digit, 64 more bits name a run's bytes where only equality counts.
     carried = carried.withColumn("mark", F.xxhash64("context"))
-    distinct = carried.groupBy("digit", "mark", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    distinct = written(carried.groupBy("digit", "mark", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     spans = distinct.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, mark long, spans binary")
+    spans = kept_spans = written(spans, "spans")
+    discarded(distinct)
     found = carried.drop("context").join(spans, ["digit", "mark"]).select("doc_id", "v", "start", "spans").mapInPandas(_intervals, "doc_id long, v int, a long, b long")
     found = written(found.groupBy("doc_id", "v").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "intervals")
     discarded(kept_runs)
-    discarded(lists)
+    discarded(kept_spans)
     cut = texts.join(found, ["doc_id", "v"]).select("doc_id", "sha", "text", "a", "b").mapInPandas(_removed, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.dropDuplicates(["doc_id", "sha"]).select("doc_id", "sha", "n_removed", "n_spans", F.col("kept_sha256").alias("rest"))
 
