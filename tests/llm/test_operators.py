@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lonja.llm import components as cc
 from lonja.llm import exact_dedup, lattice_lm, minhash, mixing, packing, pii, sharding, suffix_dedup, topk, toxicity
 from lonja.llm.queries import byte_bpe, tokenizer
 
@@ -130,6 +131,21 @@ def test_near_duplicates(spark, docs, rows, real, width, percent):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_components(spark, monkeypatch):
+    """Chains, stars, rings and loose pairs over many partitions, contracted a few edges at a time."""
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120)] + [(7, 7), (5, 4), (5, 4)]
+    rng.shuffle(edges)
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    monkeypatch.setattr(cc, "_EDGES", 1)
+    got = cc.components(spark.createDataFrame(edges, "a long, b long").repartition(12)).collect()
+    assert sorted(map(tuple, got)) == sorted(up.items())
+    assert cc.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_near_duplicate_chain(spark):
     """Copies that drift apart: no star covers them, so mixed buckets have to be gone through."""
     rng, rows = random.Random(9), []
