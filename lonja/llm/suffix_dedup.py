@@ -10,7 +10,8 @@ The sort goes by most significant digit and drops a group as soon as it cannot h
 3. Later passes. Only the runs left carry their bytes. Equal runs fall together; the windows of the
    distinct ones are split digit by digit (eight bytes at a time, up to `depth`), each pass keeping only
    groups that still have two members. What is left at full depth are the repeated windows, each with the
-   smallest doc_id that has it.
+   smallest doc_id that has it. The windows of a digit with more than LARGE bytes of distinct runs are
+   grouped by their bytes in Spark instead, with minima formed before the shuffle.
 4. A document loses every byte that a window with a smaller doc_id covers.
 
 Defined results: null and empty text have no windows. Copies of a text in larger doc_ids lose all of it if
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.llm.common import discarded, whole, written
@@ -34,6 +35,7 @@ from lonja.llm.common import discarded, whole, written
 DEPTH, GRAM = 50, 16
 _U = np.uint64
 _FEW = 1 << 21  # bytes or rows handled at once inside a task
+LARGE = 1 << 22  # bytes of contexts: a digit with more is not refined in one task
 
 
 def eights(b: np.ndarray) -> np.ndarray:
@@ -145,6 +147,41 @@ def _later_passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(rest)
 
 
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every window of every context with its place, some at a time."""
+    most = _FEW // DEPTH
+    for pdf in batches:
+        for digit, mark, least, c in zip(pdf["digit"], pdf["mark"], pdf["least"], map(bytes, pdf["context"])):
+            for a in range(0, len(c) - DEPTH + 1, most):
+                places = range(a, min(a + most, len(c) - DEPTH + 1))
+                yield pd.DataFrame({"digit": digit, "mark": mark, "least": least, "place": places, "window": [c[i : i + DEPTH] for i in places]})
+
+
+def _as_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for digit, mark, own, size, found in zip(pdf["digit"], pdf["mark"], pdf["least"], pdf["size"], pdf["found"]):
+            m = np.full(size, own, np.int64)
+            for place, low in () if found is None else ((x["place"], x["lo"]) for x in found):
+                m[place] = low
+            cut = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+            out.append((digit, mark, np.stack([cut, np.append(cut[1:], size), m[cut]], axis=1).astype("<i8").tobytes()))
+        yield pd.DataFrame(out, columns=["digit", "mark", "spans"])
+
+
+def spread_spans(large: DataFrame) -> DataFrame:
+    """digit, mark, spans as `_later_passes` gives them, for digits of any size: no group has to fit into a task."""
+    windows = large.select("digit", "mark", "least", "context").mapInPandas(_windows, "digit long, mark long, least long, place int, window binary")
+    windows = written(windows, "windows")
+    lowest = windows.groupBy("window").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("window", "lo")
+    lower = windows.join(lowest, "window").filter("lo < least").groupBy("digit", "mark").agg(F.collect_list(F.struct("place", "lo")).alias("found"))
+    sized = large.select("digit", "mark", "least", "n", (F.octet_length("context") - (DEPTH - 1)).alias("size"))
+    some = sized.join(lower, ["digit", "mark"], "left").filter("n > 1 OR found IS NOT NULL")
+    spans = written(some.select("digit", "mark", "least", "size", "found").mapInPandas(_as_spans, "digit long, mark long, spans binary"), "spread-spans")
+    discarded(windows)
+    return spans
+
+
 def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
@@ -186,9 +223,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = own.filter(F.col("doc_id").isNotNull()).select("doc_id", "v", "sha", "text").repartition(parts, "doc_id", "v").join(looked_at, ["doc_id", "v"], "left_semi")
 
-    by_digit = Window.partitionBy("digit")
     digit_rows = texts.select("doc_id", "v", "text").mapInPandas(_first_pass, "digit long, doc_id long, v int")
-    shared = digit_rows.withColumns({"lo": F.min("doc_id").over(by_digit), "hi": F.max("doc_id").over(by_digit)}).filter("lo < hi")
+    ends = digit_rows.groupBy("digit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    shared = digit_rows.join(ends.select("digit"), "digit", "left_semi")
     lists = written(shared.groupBy("doc_id", "v").agg(F.collect_list("digit").alias("digits")), "digits")
 
     carried = texts.join(lists, ["doc_id", "v"]).select("doc_id", "v", "text", "digits").mapInPandas(_with_bytes, "digit long, context binary, doc_id long, v int, start int")
@@ -197,8 +234,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Within a digit, 64 more bits name a run's bytes where only equality counts.
     carried = carried.withColumn("mark", F.xxhash64("context"))
     distinct = written(carried.groupBy("digit", "mark", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    spans = distinct.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, mark long, spans binary")
+    # One row per LARGE bytes at most, so the list is small beside the input.
+    large = distinct.groupBy("digit").agg(F.sum(F.octet_length("context")).alias("bytes")).filter(F.col("bytes") > LARGE).select("digit")
+    large = written(large, "large")
+    some_large = bool(large.take(1))
+    small = distinct.join(F.broadcast(large), "digit", "left_anti") if some_large else distinct
+    spans = small.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, mark long, spans binary")
     spans = kept_spans = written(spans, "spans")
+    if some_large:
+        spans = spans.unionByName(spread_spans(distinct.join(F.broadcast(large), "digit", "left_semi")))
     discarded(distinct)
     found = carried.drop("context").join(spans, ["digit", "mark"]).select("doc_id", "v", "start", "spans").mapInPandas(_intervals, "doc_id long, v int, a long, b long")
     found = written(found.groupBy("doc_id", "v").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "intervals")

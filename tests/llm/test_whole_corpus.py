@@ -1,11 +1,12 @@
 """Operators decide from all rows: nothing that counts is left to a sample or bound to one task."""
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lonja.llm import toxicity
+from lonja.llm import suffix_dedup, toxicity
 
 
 def toxic_table(spark, n=9000, rare=6):
@@ -39,3 +40,24 @@ def test_toxicity_fit_in_executors_equals_the_driver(spark):
     assert here[0].any()
     for a, b in zip(here, there):
         np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-5)
+
+
+def test_large_digits_are_not_refined_in_one_task(spark, monkeypatch):
+    """One passage in every document with differing surroundings, and a periodic text: as before, but by no group held in a task."""
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(i, noise(40) + "THE SAME BOILERPLATE, SIXTY BYTES LONG, IN ALL OF THE TEXTS." + noise(40)) for i in range(80)] + [(80, "a" * 3000), (81, "a" * 400 + noise(60)), (82, noise(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, suffix_dedup.repeated_passages(docs).collect()))
+    sent, spread = [], suffix_dedup.spread_spans
+
+    def noted(large):
+        sent.extend(large.groupBy("digit").agg(F.sum(F.octet_length("context"))).collect())
+        return spread(large)
+
+    monkeypatch.setattr(suffix_dedup, "LARGE", 300)
+    monkeypatch.setattr(suffix_dedup, "spread_spans", noted)
+    got = sorted(map(tuple, suffix_dedup.repeated_passages(docs).collect()))
+    assert got == want and sum(r[2] > 0 for r in got) >= 80
+    assert len(sent) > 1 and all(r[1] > 300 for r in sent)
+    assert spark.createDataFrame(rows[:1], "doc_id long, text string").transform(suffix_dedup.repeated_passages).first()["kept_sha256"] == hashlib.sha256(rows[0][1].encode()).hexdigest()
