@@ -6,15 +6,27 @@ coordinate. Bands of `rows` coordinates make candidates; the number of bands is
 at the threshold is missed with a chance below 1e-7.
 
 No pairs are expanded within a bucket. Texts with the same shingle set collapse to one node first. Each
-bucket then gives a star (its smallest node against the others); stars are verified on full sets and
-joined into components. Buckets that still hold more than one component are gone through whole, in cells
-of bounded size: nodes outside the bucket's main component against all of its nodes, each pair being
-compared only while the two are in different components. A first round takes one chunk of the nodes to
-compare with, which joins nearly all; the second takes all of them for what is left.
+bucket then gives a star (its smallest node against the others); stars are verified on full sets, a large
+hub's spokes under several keys, and joined into components. Buckets that still hold more than one
+component are settled in three steps, none of which leaves out a pair that could be linked:
+
+1. Shingles are counted over all nodes of such buckets. A node shares at most its shingles that some other
+   node has; where even that cannot reach the threshold with the smallest partner in its buckets, the node
+   has no link and leaves. One pass, in proportion to the sets. It removes nodes that are near to a large
+   group but linked with none of it.
+2. The nodes outside a bucket's commonest component are compared with one cell of its nodes.
+3. What is still outside is compared with all nodes of the bucket, in cells of bounded size.
+
+A pair is compared only while its two nodes are in different components. Step 3 costs rows in proportion to
+a bucket as long as no more than a cell of its nodes stays outside; beyond that, the product of both over
+the cell size.
 
 Defined results: null and empty texts, and texts without words, have no shingles, link with nothing and
-are kept. Rows that repeat a doc_id with one text are one node and are flagged alike. Null doc_ids are
-never the smallest. Columns besides doc_id and text are ignored. No rows give no rows.
+are kept, each row of them. Rows that repeat a doc_id with one text are one node and are flagged alike;
+`drop_near_duplicates` leaves one row of a group, whatever repeats. Null doc_ids are never the smallest;
+a group of null ids only has a null component_id. Very long texts are sketched whole: a signature has a
+fixed size, and a text's set is held once in the task that reads it. Columns besides doc_id and text may
+have any name: they are carried along as one struct. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +43,7 @@ from pyspark.sql import functions as F
 from lonja.llm.common import written
 from lonja.llm.components import components
 
-ROWS, MEMO, CELL = 4, 500_000, 256
+ROWS, MEMO, CELL, SPOKES = 4, 500_000, 256, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -107,7 +119,7 @@ def _sketcher(width: int, bands: int):
                 n.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(band_keys(signature(s, bands * ROWS)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "node": nodes, "keys": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "mark": pdf["mark"], "n": n, "node": nodes, "keys": keys})
 
     return run
 
@@ -119,7 +131,7 @@ def _sets(width: int):
             out = []
             for node, t, keys in zip(pdf["node"], pdf["text"], pdf["keys"]):
                 s = shingle_set(t, width, memo).tobytes()
-                if xxhash.xxh3_128_digest(s) == bytes(node):  # a doc_id may name several texts
+                if xxhash.xxh3_128_digest(s) == bytes(node):  # 64 bits of a text's hash may name several texts
                     out.append((bytes(node), s, keys))
             yield pd.DataFrame(out, columns=["node", "shingles", "keys"])
 
@@ -167,20 +179,50 @@ def _cell(percent: int):
     return run
 
 
-def _across(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int, sampled: bool) -> DataFrame:
-    """Links found in buckets that hold several components: nodes outside the main one against all nodes of the bucket.
+def _shingle_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch's nodes: every shingle, in how many of them it is, and the node (as two numbers) where that is one."""
+    for pdf in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        names = np.frombuffer(b"".join(map(bytes, pdf["node"])), "<i8").reshape(-1, 2)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shingle, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        of = names[owner[first]]
+        yield pd.DataFrame({"shingle": shingle.astype(np.int64), "n": n, "hi": of[:, 0], "lo": of[:, 1]})
+
+
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        names = np.frombuffer(b"".join(map(bytes, pdf["node"])), "<i8").reshape(-1, 2)
+        yield pdf.assign(hi=names[:, 0], lo=names[:, 1])
 
-    sampled: against one chunk of them only, which settles nearly all at a cost in proportion to the bucket.
-    """
+
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The buckets that hold several components: band, key, node, n, label and the label of the commonest component."""
     labelled = members.filter("m > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band", "key").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("y"),
-        F.max(F.when(F.col("node") == F.col("hub.node"), F.col("label"))).alias("main"),
-    ).filter("l0 <> l1")
-    once = mixed.groupBy("size", "x", "y").agg(F.min(F.struct("band", "key", "main")).alias("b")).select("b.*", "size")  # buckets of the same nodes count once
-    rest = written(labelled.select("band", "key", "node", "label").join(once, ["band", "key"]), "rest")
-    others = rest.filter("label <> main").groupBy("band", "key").agg(F.count("*").alias("others"))
-    rest = rest.join(others, ["band", "key"])
+    parts = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("y"))
+    mixed = parts.groupBy("band", "key").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")
+    ).filter("parts > 1")
+    once = mixed.groupBy("size", "x", "y").agg(F.min(F.struct("band", "key", F.col("top.label").alias("main"))).alias("b")).select("b.*")  # buckets of the same nodes count once
+    return labelled.select("band", "key", "node", "n", "label").join(once, ["band", "key"])
+
+
+def _linkable(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes of mixed buckets that enough shared shingles could link with some other node there."""
+    least = rest.groupBy("band", "key").agg(F.min("n").alias("low"))
+    nodes = rest.join(least, ["band", "key"]).groupBy("node").agg(F.first("n").alias("n"), F.min("low").alias("low"))
+    counts = nodes.select("node").join(sets.select("node", "shingles"), "node").mapInPandas(_shingle_counts, "shingle long, n long, hi long, lo long")
+    own = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"), F.max("lo").alias("lo")).filter("n = 1")
+    own = own.groupBy("hi", "lo").agg(F.count("*").alias("own"))
+    shared = nodes.mapInPandas(_halves, "node binary, n long, low long, hi long, lo long").join(own, ["hi", "lo"], "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    partner = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    return shared.filter(100 * F.col("shared") >= percent * (F.col("n") + partner - F.col("shared"))).select("node")
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int, sampled: bool) -> DataFrame:
+    """Links of the nodes outside a bucket's main component with all of its nodes; sampled: with one cell of them."""
+    count = rest.groupBy("band", "key").agg(F.count("*").alias("size"), F.count(F.when(F.col("label") != F.col("main"), 1)).alias("others")).filter("others > 0 AND size > 1")
+    rest = rest.join(count, ["band", "key"])
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / CELL)).cast("long")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CELL) - 1))
     xs = rest.filter("label <> main").select("band", "key", "node", "label", F.lit(True).alias("x"), chunk("others").alias("i"), F.lit(0).cast("long").alias("j") if sampled else upto("size").alias("j"))
@@ -197,37 +239,64 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return was.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def _starred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's smallest node against the others, on full sets. A hub's spokes are dealt over keys of about SPOKES each."""
+    wide = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    stars = members.filter((F.col("node") != F.col("hub.node")) & wide).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("m").alias("m"))
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SPOKES)))
+    hubs = stars.groupBy("a").agg(F.max("salt").alias("most")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    hubs = hubs.select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("salt"))
+    spokes = stars.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return spokes.join(hubs, ["a", "salt"]).select("a", "b", "sa", "sb").mapInPandas(_verifier(percent), "a binary, b binary")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n, node and, where there are shingles, the first row of the component, for every row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     bands = bands_for(percent)
-    rows = written(docs.select("doc_id", "text").mapInPandas(_sketcher(width, bands), "doc_id long, n long, node binary, keys array<long>"), "sketches")
-    nodes = written(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    rows = written(texts.mapInPandas(_sketcher(width, bands), "doc_id long, mark long, n long, node binary, keys array<long>"), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    nodes = written(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     buckets = spread.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     members = written(spread.join(buckets, ["band", "key"]).select("band", "key", "m", "hub", "node", "n"), "members")
-    wide = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    stars = members.filter((F.col("node") != F.col("hub.node")) & wide).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct().join(nodes.select("node", "least_id", "keys"), "node")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")))
-    sets = written(texts.select("node", "text", "keys").mapInPandas(_sets(width), "node binary, shingles binary, keys array<long>").dropDuplicates(["node"]), "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    links = written(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInPandas(_verifier(percent), "a binary, b binary"), "links")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of"), "keys"), "node")
+    wanted = texts.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = written(wanted.select("node", "text", "keys").mapInPandas(_sets(width), "node binary, shingles binary, keys array<long>").dropDuplicates(["node"]), "sets")
+    links = written(_starred(members, sets, percent), "links")
     label = written(components(links), "labels")
 
+    rest = written(_mixed(members, label), "mixed")
+    linkable = written(_linkable(rest, sets, percent), "linkable")
+    some = written(rest.join(linkable, "node"), "mixed")
     for sampled in (True, False):
-        found = written(_across(members, label, sets, percent, sampled), "links")
+        found = written(_across(some, sets, percent, sampled), "links")
         if not found.isEmpty():
             label = written(_joined(label, found), "labels")
+            if sampled:
+                some = written(_mixed(members.join(linkable, "node"), label), "mixed")
+
+    named = nodes.select("node", "first").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = named.select("node", "label").join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("node", "least")
+    full = rows.filter("node IS NOT NULL").join(of, "node").select("doc_id", "mark", "n", "node", "least")
+    alone = rows.filter("node IS NULL").select("doc_id", "mark", "n", "node", F.lit(None).cast(full.schema["least"].dataType).alias("least"))
+    return full.unionAll(alone)
 
-    named = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = named.select("node", "label").join(ids, "label").select("node", "component_id")
-    full = rows.filter("node IS NOT NULL").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    out = _grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group, the smallest doc_id; columns of docs."""
-    stays = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    rows = written(_grouped(docs, width, percent), "grouped")
+    chosen = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))
+    stays = rows.filter(chosen).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.max(F.col("least").isNotNull()).alias("_one"), F.count("*").alias("_n"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    kept = own.join(stays, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    if stays.filter("_one AND _n > 1").isEmpty():
+        return kept.select("row.*")
+    return kept.filter("_one").dropDuplicates(["_id", "_mark"]).unionAll(kept.filter("NOT _one")).select("row.*")
