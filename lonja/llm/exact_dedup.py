@@ -1,17 +1,23 @@
-"""Exact dedup: a tree merge of digest runs, with DataFrame functions only.
+"""Exact dedup: a tree merge of sorted digest runs, with DataFrame functions only.
 
-Every document becomes a digest row. Rows are dealt into runs; each run keeps one row for a digest: the
-longest original text, then the smallest doc_id, with the number of rows it stands for. In each round
-groups of fan_in runs meet and are merged the same way, until one run is left. A group of copies of any
-size therefore meets as at most fan_in rows a digest and round. The winners then go back down to the runs
-of the first level, so that the final join has at most one run's share of a group in a key.
+Every document becomes a digest row. The rows of one input partition are a run; a run is sorted by digest
+and keeps one row for each: the longest original text, then the smallest doc_id, with the number of rows it
+stands for. Then runs are exchanged in binomial rounds. Runs are numbered in base `fan_in`; in round k the
+`fan_in` runs that differ in digit k only are partners, and each row goes to the partner whose digit k is
+its digest's. A run sorts what its partners sent it and merges it in one pass, equal digests being
+neighbours, and keeps the verified smallest row of each. After the last round a run holds all that is left
+of its digests. No run ever holds more than a share of the digests, and a group of copies of any size meets
+as at most `fan_in` rows a digest and round. The winners then go back down to the first runs, so that the
+final join has at most one run's share of a group in a key.
 
 Verification: runs merge on SHA-256, a second independent 64-bit hash and the byte length together, so a
 digest that two texts share by chance does not merge them.
 
-Defined results: a null text counts as empty, and empty texts are one group. Rows that repeat (same text
-and doc_id) are all flagged as kept if theirs is the row that stays; `drop_duplicates` leaves one of
-them. A null doc_id loses against any other. Further columns are ignored. No rows give no rows.
+Defined results: a null text counts as empty, and empty texts are one group. Very long texts are hashed
+whole and never leave their task. Rows that repeat (same text and doc_id) are all flagged as kept if theirs
+is the row that stays; `drop_duplicates` leaves exactly one row of a group. A null doc_id loses against any
+other. Further columns may have any name; `drop_duplicates` carries them along as one struct. No rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -24,28 +30,43 @@ from lonja.llm.common import SPACES, whole, written
 KEY = ["sha", "second", "n_bytes"]
 
 
-def digests(docs: DataFrame, *more: str) -> DataFrame:
-    """One row per document: key columns, n_chars of the original text, doc_id and the columns named."""
+def digests(docs: DataFrame) -> DataFrame:
+    """One row per document: key columns, doc_id, n_chars and a hash of the original text."""
     norm = F.translate(F.col("_text"), SPACES, "")
     return (
-        docs.select("doc_id", *more, whole().alias("_text"))
-        .select("doc_id", *more, F.length("_text").alias("n_chars"), norm.alias("_norm"))
-        .select("doc_id", *more, "n_chars", F.unhex(F.sha2("_norm", 256)).alias("sha"), F.xxhash64("_norm").alias("second"), F.octet_length("_norm").alias("n_bytes"))
+        docs.select("doc_id", whole().alias("_text"))
+        .select("doc_id", F.length("_text").alias("n_chars"), F.xxhash64("_text").alias("mark"), norm.alias("_norm"))
+        .select("doc_id", "n_chars", "mark", F.unhex(F.sha2("_norm", 256)).alias("sha"), F.xxhash64("_norm").alias("second"), F.octet_length("_norm").alias("n_bytes"))
     )
 
 
-def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = written(digests(docs).withColumn("run", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(runs)).cast("int")), "digests")
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+def merged_runs(first: DataFrame, fan_in: int, rounds: int) -> DataFrame:
+    """KEY, best, n after all rounds of exchange between the runs of `first`."""
+    level = first
+    for k in range(rounds):
+        place = fan_in**k
+        digit = F.pmod(F.shiftright("second", 5 * k), F.lit(fan_in))
+        own = F.floor(F.col("run") / place) % fan_in
+        sent = level.withColumn("run", (F.col("run") + (digit - own) * place).cast("int")).repartitionById(fan_in**rounds, "run")
+        level = sent.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))  # a sort and a merge inside the partition
+    return level.select(*KEY, "best", "n")
+
+
+def _marked(docs: DataFrame, fan_in: int) -> DataFrame:
+    """doc_id, n_chars, mark and sha of every row, with its group's best row and size."""
+    width, rounds = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+    while fan_in**rounds < width:
+        rounds += 1
+    rows = written(digests(docs).withColumn("run", F.pmod(F.spark_partition_id(), F.lit(fan_in**rounds)).cast("int")), "digests")
+    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     first = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("n"))
-    level, left = first, runs
-    while left > 1:
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        left = -(-left // fan_in)
-    leaders = level.select(*KEY, "best", "n")
-    per_run = rows.groupBy("run", *KEY).agg(F.count("*").alias("_here")).drop("_here").join(leaders, KEY)
-    return rows.join(per_run, ["run", *KEY]).select(
+    per_run = first.select("run", *KEY).join(merged_runs(first, fan_in, rounds), KEY)
+    return rows.join(per_run, ["run", *KEY])
+
+
+def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    return _marked(docs, fan_in).select(
         "doc_id",
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -54,13 +75,15 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
     )
 
 
-def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
+def drop_duplicates(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     """docs without the rows that exact_dedup drops, with the columns of docs; of repeated rows one stays."""
-    marked = exact_dedup(docs, **how)
-    stays = marked.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumns({"_sha": F.sha2(F.translate(whole(), SPACES, ""), 256), "_n": F.length(whole())})
-    held = own.join(stays.withColumnRenamed("_sha", "_stays_sha"), own["doc_id"].eqNullSafe(F.col("_id")) & (own["_sha"] == F.col("_stays_sha")))
-    return held.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.less")) & (F.col("mark") == F.col("best.mark"))
+    stays = written(_marked(docs, fan_in).filter(chosen).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_n")), "stays")
+    own = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(whole()).alias("mark"))
+    kept = own.join(stays, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    if not stays.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_mark"])
+    return kept.select("row.*")
 
 
 SQL = r"""
