@@ -3,22 +3,25 @@
 A source's target is its share, by weight, of all words; a target stops at `most` times the source's size
 and what is over goes to the others by weight. Targets are then turned into whole blocks of equal numbers
 of words by highest quotients (weight over 1, 3, 5, ...): first among sources, then among the shards of a
-source, which gives each shard an integer quota of blocks. Inside a shard the documents stand in a seeded
+source, which gives each shard an integer quota of blocks. A block has BLOCK words, fewer only where the
+sources have under 200 blocks each on average; the size of a single source plays no part. Inside a shard the documents stand in a seeded
 order, as one stream cut into blocks. A quota above the stream is met by whole repeats; the rest by blocks
 spread evenly through the stream from a seeded start. How many chosen blocks a document has part in is
 counted in closed form, so blocks are never rows.
 
 The driver sees one row per source (the number of sources is taken to be moderate, as weights are set for
-each by hand) and nothing that grows with the documents. Shards hold about `rows_per_shard` documents of
-all sources together, so that a hot source is split over all of them.
+each by hand) and nothing that grows with the documents. A shard holds about `rows_per_shard` documents of
+one source, so a hot source has many shards and a small one few.
 
 Defined results: null or empty text has size 0 and is never taken; the null source is a source of its own,
-last in order; rows that repeat are separate documents. If there are no words, every target is 0. The same
-input gives the same result. Further columns are ignored.
+last in order; rows that repeat are separate documents. A very long text spans many blocks, which are
+counted, not listed. If there are no words, every target is 0. The same input gives the same result. No
+rows give no rows. Further columns may have any name; `mixed` carries them along as one struct.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm.common import words_in, written
 
-WEIGHTS = (5, 2, 1)
+WEIGHTS, BLOCK = (5, 2, 1), 128
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -83,54 +86,53 @@ def sainte_lague(weights, seats: int, cap=None) -> np.ndarray:
 def _planned(base: DataFrame, weights, most: int, seed: int, rows_per_shard: int, max_shards: int) -> DataFrame:
     """base (with columns doc_id, source, size) with what the plan says of each row's place in its shard's stream."""
     label = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    seeded = F.xxhash64(F.lit(seed), "doc_id", "size")
-    base = base.withColumns({"_label": label, "_turn": seeded})
-    found = base.groupBy("_label").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
-    found.sort(key=lambda r: (r["_label"] == "n", r["_label"]))
+    base = base.withColumns({"label": label, "turn": F.xxhash64(F.lit(seed), "doc_id", "size")})
+    found = base.groupBy("label").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
+    found.sort(key=lambda r: (r["label"] == "n", r["label"]))
     sizes = [int(r["size"]) for r in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    shards = max(1, min(max_shards, -(-sum(r["n"] for r in found) // rows_per_shard)))
-    block = max(1, min([1024, *(int(s / (100 * math.sqrt(shards))) for s in sizes if s)]))
+    block = max(1, min(BLOCK, sum(sizes) // (200 * max(1, sum(s > 0 for s in sizes)))))
     quota = sainte_lague(aims, round(sum(aims) / block), [-(-most * s // block) for s in sizes])
-    of = {r["_label"]: (s, a, int(q)) for r, s, a, q in zip(found, sizes, aims, quota)}
+    of = {r["label"]: (s, a, int(q)) for r, s, a, q in zip(found, sizes, aims, quota)}
+    shards = F.from_json(F.lit(json.dumps({r["label"]: max(1, min(max_shards, -(-r["n"] // rows_per_shard))) for r in found})), "map<string,int>")
 
     def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:  # one source: at most max_shards rows
-        pdf = pdf.sort_values("_shard", kind="stable")
-        size, aim, q = of[pdf["_label"].iloc[0]]
-        n = -(-pdf["_words"].to_numpy() // block)
+        pdf = pdf.sort_values("shard", kind="stable")
+        size, aim, q = of[pdf["label"].iloc[0]]
+        n = -(-pdf["words"].to_numpy() // block)
         got = sainte_lague(n, min(most * int(n.sum()), round(q * block * int(n.sum()) / max(size, 1))) if aim < most * size else most * int(n.sum()), most * n)
         n = np.maximum(n, 1)
-        return pdf.assign(_source_size=size, _target=aim, _n=n, _full=got // n, _more=got % n)
+        return pdf.assign(source_size=size, target=aim, n=n, full=got // n, more=got % n)
 
-    dealt = base.withColumn("_shard", F.pmod(F.shiftright("_turn", 20), F.lit(shards)).cast("int"))
+    dealt = base.withColumn("shard", F.pmod(F.shiftright("turn", 20), F.element_at(shards, F.col("label"))).cast("int"))
     quotas = (
-        dealt.groupBy("_label", "_shard").agg(F.sum("size").alias("_words")).groupBy("_label")
-        .applyInPandas(per_shard, "_label string, _shard int, _words long, _source_size long, _target double, _n long, _full long, _more long")
+        dealt.groupBy("label", "shard").agg(F.sum("size").alias("words")).groupBy("label")
+        .applyInPandas(per_shard, "label string, shard int, words long, source_size long, target double, n long, full long, more long")
     )
-    stream = Window.partitionBy("_label", "_shard").orderBy("_turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    phase = F.pmod(F.xxhash64(F.lit(seed), "_label", "_shard"), F.lit(1 << 20)) / float(1 << 20)
+    stream = Window.partitionBy("label", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    phase = F.pmod(F.xxhash64(F.lit(seed), "label", "shard"), F.lit(1 << 20)) / float(1 << 20)
     return (
-        dealt.join(quotas.drop("_words"), ["_label", "_shard"])
-        .withColumns({"_end": F.sum("size").over(stream), "_phase": phase, "_block": F.lit(block).cast("long")})
-        .withColumn("_start", F.col("_end") - F.col("size"))
+        dealt.join(quotas.drop("words"), ["label", "shard"])
+        .withColumns({"end": F.sum("size").over(stream), "phase": phase, "block": F.lit(block).cast("long")})
+        .withColumn("start", F.col("end") - F.col("size"))
     )
 
 
 def _part_taken():
     """Words of a row in chosen blocks; block i is chosen where floor(i * more / n + phase) steps up after it."""
-    b, i, j = F.col("_block"), F.floor(F.col("_start") / F.col("_block")), F.floor((F.col("_end") - 1) / F.col("_block"))
-    before = lambda i: F.floor(i * F.col("_more") / F.col("_n") + F.col("_phase"))  # noqa: E731  blocks chosen among the first i
+    b, i, j = F.col("block"), F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))
+    before = lambda i: F.floor(i * F.col("more") / F.col("n") + F.col("phase"))  # noqa: E731  blocks chosen among the first i
     part = lambda i, words: F.when(before(i + 1) > before(i), words).otherwise(0)
-    several = part(i, (i + 1) * b - F.col("_start")) + (before(j) - before(i + 1)) * b + part(j, F.col("_end") - j * b)
+    several = part(i, (i + 1) * b - F.col("start")) + (before(j) - before(i + 1)) * b + part(j, F.col("end") - j * b)
     return F.when(F.col("size") == 0, 0).when(i == j, part(i, F.col("size"))).otherwise(several).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17, rows_per_shard: int = 256, max_shards: int = 4096) -> DataFrame:
     """doc_id, size, source_size, target, taken (and source, shard) for every row of docs."""
     base = written(docs.select("doc_id", "source", words_in().alias("size")), "sizes")
-    taken = F.col("_full") * F.col("size") + _part_taken()
+    taken = F.col("full") * F.col("size") + _part_taken()
     return _planned(base, weights, most, seed, rows_per_shard, max_shards).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), "source", F.col("_shard").alias("shard")
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard"
     )
 
 
@@ -150,17 +152,18 @@ def chosen_text(text: str, start: int, block: int, more: int, n: int, phase: flo
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 17, rows_per_shard: int = 256, max_shards: int = 4096) -> DataFrame:
     """The mix itself, with the columns of docs: whole repeats of a document, then the part in chosen blocks."""
-    plan = _planned(docs.withColumn("size", words_in()), weights, most, seed, rows_per_shard, max_shards).withColumn("_part", _part_taken())
+    base = docs.select("doc_id", "source", words_in().alias("size"), F.struct("*").alias("row"))
+    plan = _planned(base, weights, most, seed, rows_per_shard, max_shards).withColumn("part", _part_taken())
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, part: pd.Series, size: pd.Series, start: pd.Series, block: pd.Series, more: pd.Series, n: pd.Series, phase: pd.Series) -> pd.Series:
-        return pd.Series([t if p == s else chosen_text(t, a, b, m, k, f) for t, p, s, a, b, m, k, f in zip(text, part, size, start, block, more, n, phase)], dtype=object)
-
-    copies = plan.filter((F.col("_full") > 0) & (F.col("size") > 0) | (F.col("_part") > 0))
-    whole_rows = copies.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_full")))).filter((F.col("_i") < F.col("_full")) | (F.col("_part") > 0))
-    is_part = F.col("_i") == F.col("_full")
-    text = F.when(is_part & (F.col("_part") < F.col("size")), cut("text", "_part", "size", "_start", "_block", "_more", "_n", "_phase")).otherwise(F.col("text"))
-    out = whole_rows.withColumn("text", text)
+    def cut(text: pd.Series, start: pd.Series, block: pd.Series, more: pd.Series, n: pd.Series, phase: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else chosen_text(t, a, b, m, k, f) for t, a, b, m, k, f in zip(text, start, block, more, n, phase)], dtype=object)
+
+    taken = plan.filter((F.col("size") > 0) & ((F.col("full") > 0) | (F.col("part") > 0)))
+    copies = taken.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("full")))).filter("i < full OR part > 0")
+    is_cut = (F.col("i") == F.col("full")) & (F.col("part") < F.col("size"))
+    text = F.when(is_cut, cut(F.when(is_cut, F.col("row.text")), "start", "block", "more", "n", "phase")).otherwise(F.col("row.text"))
+    out = copies.withColumn("text", text).withColumn("row", F.col("row").withField("text", F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select("row.*")
