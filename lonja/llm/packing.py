@@ -5,8 +5,11 @@ shards of about `pieces_per_shard` pieces by hash. Each shard is packed by best
 bins are kept by remaining capacity under a segment tree over capacities, which gives the tightest bin
 that still fits in logarithmic time. A shard leaves at most one badly filled bin, one in thousands.
 
-Defined results: null or empty text is the end id alone; rows that repeat are separate documents; a text
-longer than a sequence is cut into pieces, the first of which holds the remainder. No rows give no rows.
+Defined results: null or empty text is the end id alone; rows that repeat are separate documents and are
+spread over the shards by the place they were read at; a text longer than a sequence is cut into pieces,
+the first of which holds the remainder. A very long text is encoded whole, in the task that reads it. The
+strings of special tokens in a text become those tokens' ids, as the tokenizer file says. Further columns
+are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ class Encoder:
     """Texts to little-endian unsigned 32-bit ids of a byte-level vocabulary.
 
     The vocabulary comes twice: as ranks, which encode ordinary texts fast, and as a tokenizer file. Both
-    give the same ids; the second takes texts with runs so long that the first's pattern could overflow.
+    give the same ids; the second takes texts that hold a special token's string, and texts with runs so
+    long that the first's pattern could overflow.
     """
 
     def __init__(self, path: str, ranks: str, pattern: str):
@@ -43,10 +47,10 @@ class Encoder:
             own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=own, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if len(text) > RUN and _LONG.search(text):
+        if (len(text) > RUN and _LONG.search(text)) or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
@@ -129,13 +133,13 @@ def best_fit_decreasing(lengths, capacity: int = LENGTH) -> tuple[np.ndarray, np
 
 def pack(pieces: DataFrame, length: int = LENGTH, pieces_per_shard: int = 8192) -> DataFrame:
     """pieces with sequence_id and offset."""
-    pieces = written(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // pieces_per_shard))
     schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
+    pieces = written(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")  # the table fixes the places
+    shards = max(1, -(-pieces.count() // pieces_per_shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:  # about pieces_per_shard rows
-        pdf = pdf.sort_values(["doc_id", "piece", "start"], kind="stable")
+        pdf = pdf.sort_values("place", kind="stable")
         b, o = best_fit_decreasing(pdf["length"], length)
-        return pdf.drop(columns="shard").assign(sequence_id=pdf["shard"].iloc[0] * (1 << 32) + b, offset=o)
+        return pdf.drop(columns=["shard", "place"]).assign(sequence_id=pdf["shard"].iloc[0] * (1 << 32) + b, offset=o)
 
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("place", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
