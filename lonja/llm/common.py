@@ -13,10 +13,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of its own only in local mode, as in tests."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if (held := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         held = spark.sparkContext.getCheckpointDir()
     return held

@@ -1,16 +1,23 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
 Records hash into thousands of virtual slots. Bytes and rows are summed per slot; only these sums, one
-row a slot, reach the driver. A versioned slot-to-shard map says where each slot lives: version 0 deals
-slots out in turn, and each rebalancing edits the map, moving single slots from the fullest shard to the
-emptiest until no move evens them out. The law that holds is `bytes`: the sizes of shards are near equal
-(they differ by less than the smallest slot of the fullest shard).
+row a slot, reach the driver. A stored slot-to-shard map says where each slot lives. The map is a table of
+versions: version 0 deals all slots out in turn; every later version holds just the slots that a
+rebalancing moved, single slots from the fullest shard to the emptiest until no move evens them out. A run
+on a stored map starts from its latest version and appends the next one, so records move only with moved
+slots. The law that holds is `bytes`: the sizes of shards are near equal (they differ by less than the
+smallest slot of the fullest shard).
+
+Groups: equal texts are not kept together. A group of copies may hold a third of all bytes, which no law of
+near equal sizes leaves in one shard; the hash takes the doc_id with the text's CRC, so a group spreads
+over all slots and shards like any other records.
 
 Positions: a slot's rows follow those of the slots before it in the same shard, so only the rows of one
 virtual slot are ever sorted together.
 
-Defined results: a null text has no bytes (size 16, the CRC of nothing); rows that repeat are separate
-records; a null doc_id is hashed like any value. No rows give no rows. Further columns are ignored.
+Defined results: a null text has no bytes (size 16, the CRC of nothing); a very long text is one record of
+its size, read once; rows that repeat are separate records of one slot, in a row; a null doc_id is hashed
+like any value. No rows give no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +25,12 @@ from __future__ import annotations
 import bisect
 import heapq
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lonja.llm.common import whole, written
+from lonja.llm.common import shared_folder, whole, written
 
 SLOTS, SHARDS = 8192, 40
 
@@ -71,18 +79,32 @@ def _array(values: list[int], kind: str):
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def slot_map(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The map as a table: version, virtual_slot, shard."""
-    out = None
-    for v, shard_of in enumerate(versions):
-        one = spark.range(len(shard_of)).select(F.lit(v).alias("version"), F.col("id").cast("int").alias("virtual_slot"), F.element_at(_array(shard_of, "int"), (F.col("id") + 1).cast("int")).alias("shard"))
-        out = one if out is None else out.unionAll(one)
-    return out
+MAP = "version int, virtual_slot int, shard int"
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The latest version of the map at path and each slot's shard; (-1, {}) where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return -1, {}
+    latest = spark.read.schema(MAP).parquet(path).groupBy("virtual_slot").agg(F.max_by("shard", "version").alias("shard"), F.max("version").alias("version"))
+    rows = latest.collect()  # one row a slot
+    return max((r.version for r in rows), default=-1), {r.virtual_slot: r.shard for r in rows}
+
+
+def _append(spark: SparkSession, path: str, version: int, moved: dict[int, int]) -> None:
+    """Adds a version: the moved slots and their new shards."""
+    slots = sorted(moved)
+    if slots:
+        at = (F.col("id") + 1).cast("int")
+        rows = spark.range(len(slots)).select(F.lit(version).alias("version"), F.element_at(_array(slots, "int"), at).alias("virtual_slot"), F.element_at(_array([moved[x] for x in slots], "int"), at).alias("shard"))
+        rows.write.mode("append").parquet(path)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Records with their shard and place, and the versioned slot map (also stored in the shared folder)."""
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records with their shard and place, and the versions of the map stored at path (a new one in the shared folder, if none is named)."""
     spark = docs.sparkSession
+    path = path or f"{shared_folder(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     crc = F.crc32(whole().cast("binary"))
     rows = written(
         docs.select("doc_id", (F.octet_length(whole()).cast("long") + 16).alias("size"), crc.alias("text_crc32")).withColumn(
@@ -93,11 +115,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[Da
     sizes, counts = [0] * slots, [0] * slots
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # one row a slot
         sizes[r.virtual_slot], counts[r.virtual_slot] = r.b, r.n
-    versions = [first_map(slots, shards)]
-    versions.append(rebalanced(versions[0], sizes, shards))
-    table = written(slot_map(spark, versions), "slot-map")
+    version, held = _stored(spark, path)
+    if version < 0:
+        version, held = 0, dict(enumerate(first_map(slots, shards)))
+        _append(spark, path, version, held)
+    start = [held[s] if held[s] < shards else s % shards for s in range(slots)]  # a shard that is no more gives its slots away in turn
+    now = rebalanced(start, sizes, shards)
+    _append(spark, path, version + 1, {s: x for s, x in enumerate(now) if x != held[s]})
     before, filled = [], [0] * shards
-    for s, n in zip(versions[-1], counts):
+    for s, n in zip(now, counts):
         before.append(filled[s])
         filled[s] += n
     at = F.col("virtual_slot") + 1
@@ -107,8 +133,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[Da
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.element_at(_array(versions[-1], "int"), at).alias("shard"),
+        F.element_at(_array(now, "int"), at).alias("shard"),
         (F.element_at(_array(before, "bigint"), at) + place - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
-    ), table
+    ), spark.read.schema(MAP).parquet(path)
