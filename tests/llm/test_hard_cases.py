@@ -1,11 +1,15 @@
 """Cases that once went wrong: crowds of close but unlinked texts, null and repeated ids, clashing names, tiny sources, stored maps."""
 
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lonja.llm import minhash
+from lonja.llm import exact_dedup, minhash, mixing, packing, sharding
+from lonja.llm.queries import byte_bpe
 from tests.llm.test_operators import brute_components, key, pairs
 
 
@@ -63,3 +67,107 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     worded = [r for r in kept if r.text and r.text.strip()]
     assert len(worded) == 2 and sorted(r.doc_id for r in worded) == [4, 5] and len(kept) - len(worded) == 3
     assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_longest_of_equal_texts_stays_once(spark):
+    """Rows that repeat a doc_id and differ in white space only: the longest stays, once, in any order and partitioning."""
+    rows = [(7, "a b", 1), (7, "a   b     ", 2), (7, "a   b     ", 3), (7, "a\t\t\tb     ", 4), (8, "a b", 5), (None, "c", 6), (None, "c", 7), (9, None, 8), (9, "", 9)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, _n long").repartition(3)
+        kept = exact_dedup.drop_duplicates(docs).collect()
+        assert sorted((str(r.doc_id), len(r.text or "")) for r in kept) == [("7", 10), ("9", 0), ("None", 1)]
+        assert kept[0].__fields__ == ["doc_id", "text", "_n"] and set(map(tuple, kept)) <= set(rows)
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 8])
+def test_runs_merge_in_rounds(spark, fan_in):
+    """A third of the rows is one text; every round leaves at most fan_in rows a digest and run, and the last one row."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, fan_in).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in rows}
+    first = exact_dedup.digests(docs).withColumn("run", F.pmod(F.spark_partition_id(), F.lit(fan_in**2)).cast("int"))
+    first = first.groupBy("run", *exact_dedup.KEY).agg(F.min(F.struct("n_chars", "doc_id")).alias("best"), F.count("*").alias("n"))
+    left = exact_dedup.merged_runs(first, fan_in, 2)
+    assert left.count() == len(groups)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 2 and "Sort [run" in plan
+
+
+def test_one_tiny_source_leaves_the_blocks_of_others_whole(spark):
+    """Sources are cut into long stretches, not into single words, whatever the size of the smallest one; names may clash."""
+    text = lambda i, n: " ".join(f"w{i}_{j}" for j in range(n))
+    rows = [(i, text(i, 400), "big", str(i), -i, 0) for i in range(900)] + [(1000 + i, text(i, 5), "tiny", "s", 1, 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, _n long, label int")
+    out = mixing.mixed(docs, weights=(1, 1), rows_per_shard=64).collect()
+    assert {r.size for r in out} <= {r[3] for r in rows} and out[0].__fields__ == docs.columns
+    big = [r for r in out if r.source == "big"]
+    stretches = [s.split() for r in big for s in r.text.split("\n")]
+    assert sum(len(s) >= 16 for s in stretches) > 0.9 * len(stretches)
+    taken = Counter()
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    plan = {r.source: r.target for r in mixing.mix(docs, weights=(1, 1), rows_per_shard=64).collect()}
+    assert all(abs(taken[s] - t) <= max(64, 0.02 * t) for s, t in plan.items())
+
+
+def test_special_tokens_have_the_ids_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(byte_bpe()[0])
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "plain"]
+    out = packing.pack(packing.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), byte_bpe())).collect()
+    for r in out:
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_stored_map_is_edited(spark, tmp_path):
+    """Two rebalancings from storage: each starts from the latest version, appends moved slots only, and keeps all other records in place."""
+    path = str(tmp_path / "map")
+    docs = lambda n, k: spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % k).cast("int")).alias("text"))
+    where, versions = {}, []
+    for n, k, shards in ((3000, 40, 8), (4000, 90, 8), (4000, 90, 10)):
+        out, table = sharding.shard(docs(n, k), shards=shards, slots=512, path=path)
+        now = {r.virtual_slot: r.shard for r in out.select("virtual_slot", "shard").distinct().collect()}
+        latest = table.agg(F.max("version")).first()[0]
+        moved = {r.virtual_slot: r.shard for r in table.filter(F.col("version") == latest).collect()} if versions and latest > versions[-1] else {}
+        if where:
+            assert moved and len(moved) < 512 and all(now[s] == moved.get(s, where.get(s, now[s])) for s in now)
+        held = {}
+        for r in sorted(table.collect(), key=lambda r: r.version):
+            held[r.virtual_slot] = r.shard
+        assert all(held[s] == x for s, x in now.items())
+        sizes, slots = [0] * 512, [0] * 512
+        for r in out.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect():
+            sizes[r.virtual_slot] = r.b
+        before = [where.get(s, s % shards) for s in range(512)] if where else sharding.first_map(512, shards)
+        assert [held[s] for s in range(512)] == plain_rebalance(before, sizes, shards)
+        where, versions = held, [*versions, latest]
+
+
+def plain_rebalance(shard_of, sizes, shards):
+    """Step by step: from the fullest to the emptiest, the slot that evens them out best."""
+    shard_of = list(shard_of)
+    while True:
+        total = [0] * shards
+        for s, b in enumerate(sizes):
+            total[shard_of[s]] += b
+        a, b = max(range(shards), key=lambda i: (total[i], -i)), min(range(shards), key=lambda i: (total[i], i))
+        gap = total[a] - total[b]
+        fits = sorted((sizes[s], s) for s in range(len(sizes)) if shard_of[s] == a and 0 < sizes[s] < gap)
+        if not fits:
+            return shard_of
+        low = [x for x in fits if x <= (gap // 2, len(sizes))][-1:]
+        high = [x for x in fits if x > (gap // 2, len(sizes))][:1]
+        shard_of[min(low + high, key=lambda x: abs(2 * x[0] - gap))[1]] = b
+
+
+def test_a_large_group_of_equal_texts_spreads(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    n = [r["count"] for r in sharding.shard(docs)[0].filter("size = 29").groupBy("shard").count().collect()]
+    assert len(n) == 40 and max(n) < 2 * sum(n) / 40

@@ -66,14 +66,15 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(-100, 400)]
     rows += [(1000 + i, [0.5] * 6) for i in range(60)]  # ties
-    rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (None, [1.0] * 6), (700, []), (750, [2.0]), (1000, [0.5] * 6)]
+    rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (None, [1.0] * 6), (700, []), (750, [2.0]), (1000, [0.5] * 6), (50, [9.0] * 6), (50, [-9.0] * 6), (1001, [90.0] * 6), (2, [1000.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).repartition(5)
-    sound = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    sound = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     want = []
-    for q in (i for i in sound if i % 50 == 0):
-        best = sorted((-dot(sound[q], v), i) for i, v in sound.items() if i != q)[:5]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for n, (q, v) in enumerate(sound):
+        if q % 50 == 0:
+            best = sorted((-dot(v, w), i) for m, (i, w) in enumerate(sound) if m != n)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     for shard_rows in (100000, 40):
         assert key(map(tuple, topk.top_k(df, shard_rows=shard_rows, group_rows=7).collect())) == key(want)
     assert topk.top_k(df.limit(0)).count() == 0
@@ -81,8 +82,8 @@ def test_top_k(spark):
 
 def test_top_k_large_values():
     q, c = np.array([[2.0**40, -(2.0**45)]]), np.array([[2.0**30, 1.0], [2.0**31, 5.0], [1.0, 1.0]])
-    a, b, s = topk.best_of(q, np.array([7]), c, np.array([1, 2, 7]), 5)
-    assert list(zip(a, b, s)) == [(7, 2, (1 << 63) - 1), (7, 1, (1 << 63) - 1)] or s.tolist() == [2**71 - 5 * 2**45, 2**70 - 2**45]
+    a, b, s = topk.best_of(q, np.array([7]), c, np.array([1, 2, 9]), np.array([5, 6, 7]), 5)
+    assert list(zip(a, b, s)) == [(0, 1, (1 << 63) - 1), (0, 0, (1 << 63) - 1)]
 
 
 def test_toxicity(spark, docs, rows):
@@ -317,7 +318,6 @@ def test_packing(spark, docs, rows, real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for df in (docs, real):
         want, total = Counter(), 0
         for d, x in pairs(df):
@@ -341,7 +341,6 @@ def test_encoder_equals_tokenizer():
 
     path = tokenizer("byte_bpe_50k.json")
     t, e, rng = Tokenizer.from_file(path), packing.Encoder(*byte_bpe()), random.Random(8)
-    t.encode_special_tokens = True
     bits = [" ", "  ", "\n", "\t", "a", "don't", "'s", "Ñ", "12", "!?", " ", " ", "　", "\x1c", "\x85", "<|endoftext|>", "x y", "\r\n", "日本", "🙂", "​", "\x00"]
     long = ["^" * 3000, " " * 100000, "a" * 3000, "ab " * 5000, "x" + "\n" * 5000 + "y", "1" * 1999]
     for s in [*long, *("".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(3000))]:
@@ -375,7 +374,8 @@ def test_sharding(spark, docs, rows, real):
         for _, g in got.groupby("shard"):
             assert sorted(g["slot"]) == list(range(len(g)))
         assert got["shard"].between(0, 39).all() and set(got["law"]) == {"bytes"}
-        assert {r["version"] for r in table.select("version").distinct().collect()} == {0, 1} and table.count() == 2 * sharding.SLOTS
+        versions = Counter(r["version"] for r in table.collect())
+        assert versions[0] == sharding.SLOTS and set(versions) <= {0, 1} and versions[1] < sharding.SLOTS
     big = spark.range(30000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 97).cast("int")).alias("text"))
     b = [r["b"] for r in sharding.shard(big)[0].groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(b) == 40 and max(b) - min(b) < 0.01 * max(b)
