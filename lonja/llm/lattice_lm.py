@@ -1,6 +1,8 @@
 """Document scores from a subword lattice.
 
-Pieces come from an existing subword vocabulary; none is trained. Their unigram scores are estimated from
+Pieces come from an existing subword vocabulary; none is trained. Of the public vocabularies installed the
+only one of this kind is a merge vocabulary, whose scores are the negated order of its merges and no log
+probabilities: they would give every piece a weight without meaning. So unigram scores are estimated from
 the word counts of the training folds: each distinct word is segmented by the vocabulary's own encoder and
 its pieces counted as often as the word. A word's probability is the sum over all its segmentations, by a
 forward recursion in log space; a document's is the product over its words and an end symbol. Bytes are
@@ -12,7 +14,8 @@ distinct word once with its training count and its lattice probability. Words th
 than `hot` of them, and so no more than hot * short bytes of words); all others are looked up by a join on
 the word, documents first having been reduced to their distinct words.
 
-Defined results: null and empty text are the end token alone; rows that repeat are scored each. A null
+Defined results: null and empty text are the end token alone; a very long text is reduced to its distinct
+words in one task, a very long word goes through the recursion whole; rows that repeat are scored each. A null
 doc_id is not held out and is learnt from. With no training rows every count is 0. Further columns are
 ignored. No rows give no rows.
 """

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lonja.llm import exact_dedup, minhash, mixing, packing, sharding
+from lonja.llm import exact_dedup, lattice_lm, minhash, mixing, packing, sharding, toxicity
 from lonja.llm.queries import byte_bpe
 from tests.llm.test_operators import brute_components, key, pairs
 
@@ -171,3 +171,60 @@ def test_a_large_group_of_equal_texts_spreads(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     n = [r["count"] for r in sharding.shard(docs)[0].filter("size = 29").groupBy("shard").count().collect()]
     assert len(n) == 40 and max(n) < 2 * sum(n) / 40
+
+
+def plain_nnpu(bags, p, u, d, prior, steps, rate=0.05, decay=1e-3):
+    """The same descent with the risk differentiated numerically, document by document."""
+    n_p, n_u = sum(p), sum(u)
+    soft = lambda z: np.log1p(np.exp(z))
+
+    def parts(x):
+        f = np.array([x[list(b)].sum() + x[-1] for b in bags])
+        return (p * soft(-f)).sum() / n_p, (p * soft(f)).sum() / n_p, (u * soft(f)).sum() / n_u
+
+    def slope(g, x):
+        h = 1e-5
+        return np.array([(g(x + h * e) - g(x - h * e)) / (2 * h) for e in np.eye(d + 1)])
+
+    x = np.append(np.zeros(d), np.log(prior / (1 - prior)))
+    m, v, back = np.zeros(d + 1), np.zeros(d + 1), 0
+    for t in range(1, steps + 1):
+        a, b, c = parts(x)
+        if c - prior * b >= 0:
+            grad = slope(lambda y: prior * parts(y)[0] + parts(y)[2] - prior * parts(y)[1], x)
+            grad[:-1] += decay * x[:-1]
+        else:
+            grad, back = -slope(lambda y: parts(y)[2] - prior * parts(y)[1], x), back + 1
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return x[:-1], x[-1], back
+
+
+@pytest.mark.parametrize("prior,stepped_back", [(0.2, False), (0.6, True)])
+def test_nnpu_fit_against_plain_gradients(prior, stepped_back):
+    """In both branches: with a prior far above the share of positives the second part of the risk goes negative."""
+    rng = random.Random(4)
+    bags = [np.array(sorted({rng.randrange(6) for _ in range(3)} if i % 4 else {0, 1}), dtype=np.int64) for i in range(40)]
+    p, u = np.array([float(i % 4 == 0) for i in range(40)]), np.array([float(rng.randrange(1, 4)) for _ in range(40)])
+    data = toxicity.block(bags, p, u)
+    w, b = toxicity.fit_nnpu(lambda w, b: toxicity.risk_sums(data, w, b), 6, p.sum(), u.sum(), prior, steps=60)
+    want_w, want_b, back = plain_nnpu(bags, p, u, 6, prior, 60)
+    assert (back > 0) == stepped_back
+    np.testing.assert_allclose([*w, b], [*want_w, want_b], atol=2e-3)
+
+
+def test_lattice_document_is_the_sum_over_all_segmentations(spark, monkeypatch):
+    """A document's probability is the product over its words, repeats included, and the end of the sum over every way to cut them."""
+    pieces = {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.15, "ab": 0.2, "▁ab": 0.1, "ba": 0.1, "": 0.05}
+    toy = {k: float(np.log(v)) for k, v in pieces.items()} | {f"<0x{b:02X}>": -9.0 for b in range(256)}
+    monkeypatch.setattr(lattice_lm, "piece_scores", lambda counts, model, ends: toy)
+
+    def total(s):
+        one = np.exp(-9.0 * len(s[:1].encode()))
+        return 1.0 if not s else one * total(s[1:]) + sum(p * total(s[len(x) :]) for x, p in pieces.items() if x and s.startswith(x))
+
+    rows = [(1, "ab a  AB"), (2, "bab aba ab ab"), (3, None), (4, "cé\tab")]
+    out = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "unused", hot=2).collect()
+    for r in out:
+        words = (dict(rows)[r.doc_id] or "").lower().split()
+        assert abs(r.score - (sum(np.log10(total("▁" + w)) for w in words) + np.log10(0.05))) < 1e-9
