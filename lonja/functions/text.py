@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED, _PLAIN = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçý", "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncy"
+#: Letters with marks and the letters under them, by Unicode decomposition; the marks themselves go.
+_MARKED = {c: u for c in map(chr, range(0xC0, 0x2000)) if len(u := "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) == 1 and u != c}
+_ACCENTED, _PLAIN = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370))), "".join(_MARKED.values())
 
 #: Spellings of pack words, measures and dimensions, and unit names.
 PACK = {
@@ -65,21 +70,50 @@ def label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(no_accents(or_empty(c))), r"[^A-Z0-9]+", " "))
 
 
-def product_text(c: Column) -> Column:
-    """Cleaned and lexed text: markup, accents and noise go; glued numbers, words and X come apart; words get one spelling."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(or_empty(c), F.lit(name), F.lit(sign))
-    steps = (
-        (r"<[^>]+>", " "), ("POR ANTICIPO DE MERCADERIA", " "), (r"@#@.*", " "), (r"\[[^\s]*", " "), (r"[^A-Z0-9\s/.-]", " "),
-        (r"(?<=[A-Z])\.(?=[A-Z0-9])|(?<=\d)\.(?=[A-Z])|(?<!\d)\.(?!\d)", " "),
-        (r"(?<=\d)(?=[A-Z])|(?<=[A-Z])(?=\d)", " "), (rf"(?<![A-Z])({'|'.join(sorted(PACK, key=len, reverse=True))})X(?![A-Z])", "$1 X"), (r"(?<![A-Z])X(?=[A-Z])", "X "), (r"(?<!\S)X(?=(?:UND|UNID|CJA|PQT)(?!\S))", "X "),
-        (r"\s+", " "),
-    )
-    c = F.upper(no_accents(F.regexp_replace(c, steps[0][0], " ")))
-    for pattern, by in steps[1:]:
+def unescaped(c: Column) -> Column:
+    """Named and numbered HTML entities as the characters they stand for; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    point = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 8), 16, 10)).otherwise(F.substring(e, 2, 8)).try_cast("int")
+    sign = lambda e: F.when(e.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(point(e)), 8, "0")), "UTF-32")).otherwise(F.element_at(names, e))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    # The ampersand last, so that what it sets free is not read again.
+    found = F.concat(F.filter(found, lambda e: e != "amp"), F.filter(found, lambda e: e == "amp"))
+    done = F.aggregate(found, c, lambda text, e: F.replace(text, F.concat(F.lit("&"), e, F.lit(";")), F.coalesce(sign(e), F.concat(F.lit("&"), e, F.lit(";")))))
+    return F.when(c.contains("&"), done).otherwise(c)
+
+
+_GLUED = "|".join(["CJA", "CJ", "CAJ", "CAJA", "UND", "UNID", "UNIDADES", "UN", "U", "IT", "PQT", "PAQ", "PAQT", "PACK", "PCK", "PK", "BOL", "BLS", "BOT", "BTL", "BDJ", "BAN", "DP", "DISPLAY", "DISPLEY", "SOB", "SACHET", "SACH", "ROL", "TIRA"])
+WORDS = PACK | MEASURE | DIMENSION
+_NAMES = sorted(set(WORDS.values()) | set(WORDS))
+
+
+def product_tokens(c: Column) -> Column:
+    """The lexed words of a dirty product text.
+
+    Markup, accents and noise go first. Dots stay inside numbers only. Numbers and letters come apart, but
+    words joined by hyphen or slash (PE-XTRA, 029-MACA, 16-6) stay whole. An X that starts a run of letters
+    is a word of its own, and so is one behind a pack word, measure or dimension (CJAX, GRX, LX). Signs left
+    alone go, and pack words, measures and dimensions get one spelling.
+    """
+    for pattern, by in ((r"<[^>]+>", " "),):
+        c = F.regexp_replace(unescaped(or_empty(c)), pattern, by)
+    c = F.replace(F.upper(no_accents(c)), F.lit("POR ANTICIPO DE MERCADERIA"), F.lit(" "))
+    for pattern, by in (
+        (r"@#@.*|\[\S*", " "), (r"(?U)[^\w\s/.-]|_", " "), (r"(?<=[A-Z])\.(?=[A-Z0-9])|(?<=[0-9])\.(?=[A-Z])|(?<![0-9])\.(?![0-9])", " "),
+        (r"(?<=[0-9])(?=[A-Z])|(?<=[A-Z])(?=[0-9])", " "), (rf"(?<=[0-9] )X(?=(?:{_GLUED})\b)", "X "),
+    ):
         c = F.regexp_replace(c, pattern, by)
-    spelled = F.transform(F.split(F.trim(c), " "), lambda t: lookup(PACK | MEASURE | DIMENSION, t))
-    return F.array_join(spelled, " ")
+    known = lambda t: F.element_at(F.create_map(*[F.lit(x) for n in _NAMES for x in (n, WORDS.get(n, n))]), t)
+    stem = lambda t: F.when(t.endswith("X") & (F.length(t) > 1), known(F.substring(t, F.lit(1), F.length(t) - 1)))
+    letters = lambda t: F.when(known(t).isNotNull(), F.array(known(t))).when(stem(t).isNotNull(), F.array(stem(t), F.lit("X"))).otherwise(F.array(t))
+    parts = lambda chunk: F.flatten(F.transform(F.regexp_extract_all(chunk, F.lit(r"X|\p{L}+|[0-9]+(?:\.[0-9]+)*"), F.lit(0)), letters))
+    whole = lambda chunk: chunk.rlike(r"^[A-Z0-9]+([-/][A-Z0-9]+)+$")
+    chunks = F.filter(F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " "), lambda t: t != "")
+    return F.flatten(F.transform(F.transform(chunks, lambda t: F.btrim(t, F.lit("."))), lambda t: F.when(whole(t), F.array(t)).otherwise(parts(t))))
+
+
+def product_text(c: Column) -> Column:
+    return F.array_join(product_tokens(c), " ")
 
 
 def unit(c: Column) -> Column:

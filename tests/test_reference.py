@@ -13,23 +13,58 @@ from lonja.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
+TEXTS = {
+    "LECHE / GLORIA": "LECHE GLORIA", "ARROZ - COSTENO": "ARROZ COSTENO", "500.": "500", "PE-XTRA": "PE-XTRA", "170GRX48": "170 GR X 48", "LTX12": "LT X 12", "3LX6": "3 L X 6",
+    "CAF&Eacute; &amp; TE": "CAFE TE", "&#65;&#x42;C": "ABC", "<b>PAN</b> DULCE": "PAN DULCE", "6UND1KG": "6 UND 1 KG", "LUMCARB500ML": "LUMCARB 500 ML", "12.5KG": "12.5 KG", "A.B.C": "A B C",
+    "029-MACA": "029-MACA", "C/IMPR": "C/IMPR", "XTREME": "X TREME", "CJAX24": "CJA X 24", "48XUND": "48 X UND", "AGUA@#@RESTO": "AGUA", "PAN [COD123 FRESCO": "PAN FRESCO", "ŞEKER Ğ Ő": "SEKER G O",
+    "CAJA DISPLEY ONZAS": "CJA DP OZ", "16-6 PCK": "16-6 PCK", "": "", "...": "", "10 X 20 CM": "10 X 20 CM", "LUXE": "LUXE", "UNDX12": "UND X 12", "A+B*C|D_E": "A B C D E", "1/2 KG": "1/2 KG",
+}
+
+
+def test_lexer(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    assert {r.t: r.x for r in df.select("t", text.product_text(F.col("t")).alias("x")).collect()} == TEXTS
+    again = df.select(text.product_text(F.col("t")).alias("x")).select("x", text.product_text(F.col("x")).alias("y")).collect()
+    assert all(r.x == r.y for r in again)
+
+
+ATTRIBUTES = {
+    "ATUN FLORIDA 48 X 170 GR": ("ATUN FLORIDA", 48.0, 170.0, 8160.0, "MASS", 0.17, "ATUN FLORIDA FC_48 CONT_170 TIPO_MASS"),
+    "GALLETA RITZ 12 GR X 6 X 60 UND": ("GALLETA RITZ", 360.0, 12.0, 4320.0, "MASS", 0.012, "GALLETA RITZ FC_360 CONT_12 TIPO_MASS"),
+    "INKA KOLA 500ML": ("INKA KOLA", 1.0, 500.0, 500.0, "VOLUME", 0.0, "INKA KOLA CONT_500 TIPO_VOLUME"),
+    "PAÑAL HUGGIES CJAX24": ("PANAL HUGGIES", 24.0, 0.0, 0.0, "NONE", 0.0, "PANAL HUGGIES FC_24"),
+    "": ("", 1.0, 0.0, 0.0, "NONE", 0.0, ""),
+    "ATUN 170GRX48": ("ATUN", 48.0, 170.0, 8160.0, "MASS", 0.17, "ATUN FC_48 CONT_170 TIPO_MASS"),
+    "ACEITE 1LTX12": ("ACEITE", 12.0, 1000.0, 12000.0, "VOLUME", 0.0, "ACEITE FC_12 CONT_1000 TIPO_VOLUME"),
+    "AGUA 3LX6": ("AGUA", 6.0, 3000.0, 18000.0, "VOLUME", 0.0, "AGUA FC_6 CONT_3000 TIPO_VOLUME"),
+    "SOPA 16-6 PCK": ("SOPA", 96.0, 0.0, 0.0, "NONE", 0.0, "SOPA FC_96"),
+    "CLAVOS 12 X 10": ("CLAVOS", 120.0, 0.0, 0.0, "NONE", 0.0, "CLAVOS FC_120"),
+    "TABLA 10 X 20 CM": ("TABLA CM", 1.0, 0.0, 0.0, "NONE", 0.0, "TABLA CM"),
+    "CHICLE 7 MENTA": ("CHICLE 7 MENTA", 1.0, 0.0, 0.0, "NONE", 0.0, "CHICLE 7 MENTA"),
+    "029-MACA 1/2 KG": ("MACA", 1.0, 500.0, 500.0, "MASS", 0.5, "MACA CONT_500 TIPO_MASS"),
+    "CAFE PE 2 LB": ("CAFE", 1.0, 907.184, 907.184, "MASS", 0.907184, "CAFE CONT_907 TIPO_MASS"),
+    "JABON CJA X 24 UND X 6": ("JABON", 144.0, 0.0, 0.0, "NONE", 0.0, "JABON FC_144"),
+    "LECHE 1.5 LT X 6": ("LECHE", 6.0, 1500.0, 9000.0, "VOLUME", 0.0, "LECHE FC_6 CONT_1500 TIPO_VOLUME"),
+    "24 UND": ("24 UND", 24.0, 0.0, 0.0, "NONE", 0.0, "24 UND FC_24"),
+}
+
+
 def test_attributes(spark):
-    cases = {
-        "ATUN FLORIDA 48 X 170 GR": ("ATUN FLORIDA", 48.0, 170.0, 8160.0, "MASS", 0.17, "ATUN FLORIDA FC_48 CONT_170 TIPO_MASS"),
-        "GALLETA RITZ 12 GR X 6 X 60 UND": ("GALLETA RITZ", 360.0, 12.0, 4320.0, "MASS", 0.012, "GALLETA RITZ FC_360 CONT_12 TIPO_MASS"),
-        "INKA KOLA 500ML": ("INKA KOLA", 1.0, 500.0, 500.0, "VOLUME", 0.0, "INKA KOLA CONT_500 TIPO_VOLUME"),
-        "PAÑAL HUGGIES CJAX24": ("PANAL HUGGIES", 24.0, 0.0, 0.0, "NONE", 0.0, "PANAL HUGGIES FC_24"),
-        "": ("", 1.0, 0.0, 0.0, "NONE", 0.0, ""),
-    }
-    a = parsing.attributes(F.col("t"))
-    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", *[a[k].alias(k) for k in ("base", "factor", "content", "total", "kind", "kg", "model_text")])
-    assert {r[0]: tuple(r)[1:] for r in df.collect()} == cases
+    df = parsing.with_attributes(spark.createDataFrame([(t,) for t in ATTRIBUTES], "t string"), "t").select("t", "base", "factor", "content", "total", "kind", "kg", "model_text")
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == ATTRIBUTES
+
+
+SIGNALS = {
+    "ATUN FLORIDA 48 X 170 GR": (48, 48, 0.90, "pre_measure_count"), "GALLETA RITZ 12 GR X 6 X 60 UND": (60, 360, 0.96, "after_measure_chain"), "PAÑAL HUGGIES CJAX24": (24, 24, 0.88, "explicit_pack_tokens"),
+    "CARAMELO 5 GR X 20-50": (20, 1000, 0.97, "after_measure_hyphen"), "TE 2 GR X 25": (25, 25, 0.93, "after_measure_single"), "TE 2 GR 25": (25, 25, 0.93, "after_measure_single"), "CLAVOS 12 X 10": (12, 120, 0.91, "generic_x_chain"),
+    "CLAVOS 6 X 5 X 10": (6, 50, 0.89, "generic_x_chain"), "CLAVOS 6 X 1": (6, 6, 0.84, "generic_x_chain"), "SOPA 16-6 PCK": (6, 96, 0.93, "explicit_pack_tokens"), "TABLA 10 X 20 CM": (1, 1, 0.0, ""),
+    "VINO": (1, 1, 0.0, ""), "": (0, 0, 0.0, ""), "ATUN 170GRX48": (48, 48, 0.93, "after_measure_single"), "3 PCK 12 UND": (12, 36, 0.93, "explicit_pack_tokens"),
+}
 
 
 def test_pack_signals(spark):
-    cases = {"ATUN FLORIDA 48 X 170 GR": (48, 48, 0.90, "pre_measure_count"), "GALLETA RITZ 12 GR X 6 X 60 UND": (60, 360, 0.96, "after_measure_chain"), "PAÑAL HUGGIES CJAX24": (24, 24, 0.88, "explicit_pack_tokens")}
-    p = parsing.pack_signals(F.col("t"))
-    assert {r[0]: tuple(r)[1:] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", *[v.alias(k) for k, v in p.items()]).collect()} == cases
+    df = parsing.with_pack_signals(spark.createDataFrame([(t,) for t in SIGNALS], "t string"), "t").select("t", "factor_sale", "factor_case", "strength", "source")
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == SIGNALS
 
 
 def test_small_functions(spark):
