@@ -164,24 +164,6 @@ def presentation_tiers(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", sim.presentation_tier(a, F.col("kind"), f, c, t).alias("tier"), F.round(score, 6).alias("score"))
 
 
-def match_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Lines against catalogue rows of the same supplier, brand and kind: support, final score, rank, margin and verdict."""
-    m = master(spark, d)
-    fact = m.select("ruc", "p_brand", "p_type", F.col("code").alias("fact"), F.col("p_name").alias("fact_name"), F.col("cost").alias("fact_cost"), F.col("p_size").alias("fact_size"))
-    pairs = fact.join(m, ["ruc", "p_brand", "p_type"]).filter("fact <> code")
-    x, y = tokens(F.upper("fact_name")), tokens(F.upper("p_name"))
-    lexical = 0.46 * sim.jaccard(x, y) + 0.40 * sim.overlap(x, y) + 0.14 * sim.jaccard(char_grams(F.upper("fact_name")), char_grams(F.upper("p_name")))
-    size = lambda c: F.col(c).cast("double")
-    structure = 0.18 + 0.24 * sim.relative_similarity(size("fact_size"), size("p_size"), 6.0) + 0.58 * sim.relative_similarity(F.col("fact_cost"), F.col("cost"), 2.5)
-    scored = pairs.withColumns({"lexical": half_up(lexical, 6), "structure": half_up(structure, 6)}).withColumn("score", half_up(0.58 * F.col("lexical") + 0.42 * F.col("structure"), 6))
-    by = Window.partitionBy("ruc", "fact").orderBy(F.desc("score"), "code")
-    top = scored.withColumn("rank", F.row_number().over(by)).filter("rank <= 2")
-    both = top.groupBy("ruc", "fact").agg(F.min(F.when(F.col("rank") == 1, F.struct("code", "score", "lexical", "structure"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    margin = half_up(F.col("a.score") - F.coalesce("second", "a.score"), 6)
-    yes = (F.col("a.score") >= 0.72) & ((margin >= 0.03) | (F.col("a.score") >= 0.85)) & ~((F.col("a.lexical") < 0.12) & (F.col("a.structure") < 0.35))
-    return both.select("ruc", "fact", F.col("a.code").alias("code"), F.col("a.score").alias("score"), margin.alias("margin"), F.when(yes, "tentative").otherwise("maybe_new").alias("verdict"))
-
-
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest rows with the same label for every row whose id is divisible by 50, by dot product."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -233,17 +215,6 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).withColumn("side", F.when(valid, "valid").otherwise("train"))
 
 
-def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """For each catalogue row the two hardest others of its supplier and brand, one per code."""
-    m = master(spark, d)
-    other = m.select("ruc", "p_brand", F.col("code").alias("negative"), F.col("p_name").alias("other"), F.col("cost").alias("c"), F.col("p_type").alias("k"), F.col("p_size").alias("s"))
-    pair = m.join(other, ["ruc", "p_brand"]).filter("code <> negative")
-    text = sim.jaccard(tokens(F.col("p_name")), tokens(F.col("other")))
-    hard = 0.50 * text + 0.24 * sim.relative_similarity(F.col("p_size").cast("double"), F.col("s").cast("double"), 2.8) + 0.16 * (F.col("p_type") == F.col("k")).cast("double") + 0.10 * sim.relative_similarity(F.col("cost"), F.col("c"), 1.4)
-    pair = pair.select("ruc", "code", "negative", F.round(hard, 6).alias("hardness"))
-    return pair.withColumn("rank", F.row_number().over(Window.partitionBy("ruc", "code").orderBy(F.desc("hardness"), "negative"))).filter("rank <= 2")
-
-
 def sample_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights by difficulty: positives balance the negatives; negatives count more the closer they come."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("positive"), "l_discount", "l_tax")
@@ -255,5 +226,5 @@ def sample_weights(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, token_jaccard_topk, char_ngram_similarity, presentation_tiers, match_decision, embedding_topk, category_lexicon, ranking_metrics, threshold_sweep, class_weights, group_split, hard_negatives, sample_weights)
+    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, token_jaccard_topk, char_ngram_similarity, presentation_tiers, embedding_topk, category_lexicon, ranking_metrics, threshold_sweep, class_weights, group_split, sample_weights)
 }

@@ -51,12 +51,6 @@ ORACLE_SQL = {
         y AS (SELECT *, {_rel("unit", "cost")} AS f, least({_rel("l_quantity", "size")}, {_rel("l_extendedprice", "(cost * size)")}) AS best FROM x)
         SELECT l_orderkey, l_linenumber, CASE WHEN f <= 0.02 AND best <= 0.08 THEN 0 WHEN best <= 0.15 THEN 1 WHEN f <= 0.10 THEN 2 ELSE 3 END AS tier,
         round(0.20 * CASE WHEN loose OR kind = 'NONE' THEN 0.65 ELSE 1.0 END + 0.22 * {_sim("unit", "cost", 7.0)} + 0.20 * {_sim("l_quantity", "size", 8.0)} + 0.23 * {_sim("l_extendedprice", "(cost * size)", 8.0)} + 0.15 * 0.5, 6) AS score FROM y""",
-    "match_decision": f"""WITH m AS ({_MASTER}), p AS (SELECT a.ruc, a.code AS fact, b.code, list_distinct(string_split(upper(a.p_name), ' ')) AS x, list_distinct(string_split(upper(b.p_name), ' ')) AS y,
-        {_grams("upper(a.p_name)")} AS g, {_grams("upper(b.p_name)")} AS h, a.p_size::DOUBLE AS s1, b.p_size::DOUBLE AS s2, a.cost AS c1, b.cost AS c2 FROM m a JOIN m b USING (ruc, p_brand, p_type) WHERE a.code <> b.code),
-        s AS (SELECT *, floor((0.46 * ({_jaccard("x", "y")}) + 0.40 * ({_overlap("x", "y")}) + 0.14 * ({_jaccard("g", "h")})) * 1e6 + 0.5) / 1e6 AS lexical, floor((0.18 + 0.24 * ({_sim("s1", "s2", 6.0)}) + 0.58 * ({_sim("c1", "c2", 2.5)})) * 1e6 + 0.5) / 1e6 AS structure FROM p),
-        r AS (SELECT *, {_up("0.58 * lexical + 0.42 * structure", 6)} AS score FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY ruc, fact ORDER BY score DESC, code) AS rank, lead(score) OVER (PARTITION BY ruc, fact ORDER BY score DESC, code) AS second FROM r),
-        z AS (SELECT *, {_up("score - coalesce(second, score)", 6)} AS margin FROM k WHERE rank = 1)
-        SELECT ruc, fact, code, score, margin, CASE WHEN score >= 0.72 AND (margin >= 0.03 OR score >= 0.85) AND NOT (lexical < 0.12 AND structure < 0.35) THEN 'tentative' ELSE 'maybe_new' END AS verdict FROM z""",
     "embedding_topk": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "category_lexicon": """WITH w AS (SELECT p_brand AS category, string_split(upper(p_name || ' ' || p_type), ' ') AS w FROM part), g AS (SELECT category, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM w),
@@ -71,9 +65,6 @@ ORACLE_SQL = {
         SELECT *, row_number() OVER (ORDER BY f1 DESC, precision DESC, threshold) = 1 AS best FROM q""",
     "class_weights": "SELECT p_type, count(*) AS n, round(sqrt(max(count(*)) OVER () / count(*)), 6) AS weight FROM part GROUP BY p_type",
     "group_split": "SELECT l_suppkey, count(*) AS n, CASE WHEN (l_suppkey * 2654435761) % 4294967296 % 100 < 20 THEN 'valid' ELSE 'train' END AS side FROM lineitem GROUP BY l_suppkey",
-    "hard_negatives": f"""WITH m AS ({_MASTER}), p AS (SELECT a.ruc, a.code, b.code AS negative, list_distinct(string_split(a.p_name, ' ')) AS x, list_distinct(string_split(b.p_name, ' ')) AS y, a.p_size::DOUBLE AS s1, b.p_size::DOUBLE AS s2, a.cost AS c1, b.cost AS c2, (a.p_type = b.p_type)::INT AS k FROM m a JOIN m b USING (ruc, p_brand) WHERE a.code <> b.code),
-        s AS (SELECT ruc, code, negative, round(0.50 * {_jaccard("x", "y")} + 0.24 * {_sim("s1", "s2", 2.8)} + 0.16 * k + 0.10 * {_sim("c1", "c2", 1.4)}, 6) AS hardness FROM p)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ruc, code ORDER BY hardness DESC, negative) AS rank FROM s) WHERE rank <= 2""",
     "sample_weights": """WITH n AS (SELECT sum((l_returnflag = 'R')::INT) AS p, count(*) AS a FROM lineitem)
         SELECT l_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'R' THEN greatest((a - p) / greatest(p, 1), 1.0) ELSE least(greatest(1 + 2.4 * (0.5 * exp(-1.2 * l_discount) + 0.5 * exp(-2.0 * l_tax)), 1.0), 6.0) END, 6) AS weight FROM lineitem, n""",
 }
