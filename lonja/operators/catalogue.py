@@ -11,23 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import similarity as sim
-from lonja.functions.text import char_grams, one_and_two_grams, tokens
+from lonja.functions.text import char_grams, tokens
+from lonja.sources.staging import staged
 from lonja.sources.tables import table
 
-SMALL = 100_000  # rows: a lookup of no more is broadcast
-
 
 def half_up(x, places: int):
     """Rounded half up in plain double arithmetic, so that other engines get the same last digit."""
     return F.floor(x * float(10**places) + 0.5) / float(10**places)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join with a lookup, broadcast only where a count shows that it is small."""
-    small = right.limit(SMALL + 1).count() <= SMALL
-    return left.join(F.broadcast(right) if small else right, on, "left")
-
-
 def latest_cost_per_part(spark: SparkSession, d: str) -> DataFrame:
     last = F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -88,12 +81,12 @@ LEVELS = (("exact", ["ruc", "code", "unit_buy", "unit_bill"]), ("supplier_produc
 
 
 def with_conversion(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """lines with the factor of the first of four lookup levels that knows them."""
-    out = lines
+    """lines with the factor of the first of four lookup levels that knows them; join kinds follow from run-time sizes."""
+    out, dictionary = lines, staged(dictionary, "conversions")
     order = F.struct("mode_samples", "confidence", "samples", (-F.col("factor")).alias("f"))
     for level, keys in LEVELS:
-        known = dictionary.filter("mode_samples >= 2" if level != "global_product" else "true").groupBy(*keys).agg(F.max(order).alias("x")).select(*keys, (-F.col("x.f")).alias(f"_{level}"))
-        out = lookup_join(out, known, keys)
+        known = dictionary.groupBy(*keys).agg(F.max(order).alias("x")).select(*keys, (-F.col("x.f")).alias(f"_{level}"))
+        out = out.join(known, keys, "left")
     level = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n, _ in LEVELS])
     return out.withColumns({"conversion": F.coalesce(*[F.col(f"_{n}") for n, _ in LEVELS]), "level": level}).drop(*[f"_{n}" for n, _ in LEVELS])
 
@@ -109,17 +102,41 @@ def quantity_inference(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("ruc"), F.col("l_partkey").alias("code"), F.col("l_returnflag").alias("unit_buy"), F.col("l_linestatus").alias("unit_bill"), "l_extendedprice")
     found = with_conversion(line, mode_dictionary(lines, CONVERSION_KEY))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("box_cost"), "p_size")
-    found = lookup_join(found, part, ["code"])
+    found = found.join(part, ["code"], "left")
     by_factor = F.when(F.col("conversion") > 0, F.col("l_linenumber") * F.col("conversion"))
     quantity = sim.round_quantity(F.coalesce(by_factor, F.when(F.col("box_cost") > 0, F.col("l_extendedprice") / F.col("box_cost"))))
     return found.select("l_orderkey", "l_linenumber", "level", quantity.alias("quantity"), sim.round_quantity(quantity * F.col("p_size")).alias("units"))
 
 
+def exact_matches(lines: DataFrame, master: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """lines (ruc, code) with the catalogue row of their code, sought under four keys in turn: own tax id and code, own id and
+    the code without leading zeros, then both under an equivalent id.
+
+    master: ruc, codes (array), name, order; of rows that share a key the last by order counts. equivalents: ruc, other.
+    """
+    keys = master.select("ruc", F.explode("codes").alias("code"), "name", "order").filter("code <> ''")
+    index = keys.groupBy("ruc", "code").agg(F.max(F.struct("order", "name")).alias("x"))
+    bare = F.regexp_replace("code", "^0+(?=.)", "")
+    out = lines.withColumn("bare", bare).join(equivalents, "ruc", "left")
+    for n, (ruc, code) in enumerate((("ruc", "code"), ("ruc", "bare"), ("other", "code"), ("other", "bare"))):
+        side = index.select(F.col("ruc").alias("_r"), F.col("code").alias("_c"), F.col("x.name").alias(f"_{n}"))
+        out = out.join(side, (F.col(ruc) == F.col("_r")) & (F.col(code) == F.col("_c")), "left").drop("_r", "_c")
+    found = F.coalesce(*[F.col(f"_{n}") for n in range(4)])
+    kind = F.when(F.coalesce("_0", "_1").isNotNull(), "exact").when(found.isNotNull(), "exact_equivalent").otherwise("none")
+    return out.withColumns({"matched": found, "kind": kind, "score": found.isNotNull().cast("double")}).drop("bare", "other", *[f"_{n}" for n in range(4)])
+
+
 def exact_code_match(spark: SparkSession, d: str) -> DataFrame:
-    """Lines against the code index; of catalogue rows with one (ruc, code) the last counts."""
-    index = master(spark, d).groupBy("ruc", "code").agg(F.max(F.struct("cost", "p_name")).alias("x"))
-    lines = table(spark, d, "lineitem").filter(F.col("l_linenumber") == 1).select("l_orderkey", F.col("l_suppkey").alias("ruc"), F.col("l_partkey").alias("code"))
-    return lines.join(index, ["ruc", "code"], "left").select("l_orderkey", "ruc", "code", F.col("x.p_name").alias("matched"), F.when(F.col("x").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    """All lines against the code index. A catalogue row has a second code with one zero in front; lines write codes with
+    none to two, and returned ones give the tax id of the supplier's twin."""
+    m = master(spark, d)
+    code = F.col("code").cast("string")
+    index = m.select("ruc", F.array(code, F.concat(F.lit("0"), code)).alias("codes"), F.col("p_name").alias("name"), F.struct("cost", "p_name").alias("order"))
+    twin = F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(-1)
+    twins = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ruc"), twin.alias("other"))
+    given = F.col("l_suppkey") + F.when(F.col("l_returnflag") != "R", 0).when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1)
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", given.alias("ruc"), F.concat(F.repeat(F.lit("0"), (F.col("l_linenumber") % 3).cast("int")), F.col("l_partkey").cast("string")).alias("code"))
+    return exact_matches(line, index, twins)
 
 
 def alias_match(spark: SparkSession, d: str) -> DataFrame:
@@ -158,37 +175,33 @@ def presentation_tiers(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").join(m, F.col("l_partkey") == F.col("code"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     f, c, t = sim.relative_difference(unit, F.col("cost")), sim.relative_difference(F.col("l_quantity"), F.col("size").cast("double")), sim.relative_difference(F.col("l_extendedprice"), F.col("cost") * F.col("size"))
-    a = F.when(F.col("l_returnflag") == "R", "NONE").otherwise(F.col("kind"))
+    a = F.when(F.col("l_returnflag") == "R", "NONE").when(F.col("l_returnflag") == "A", "OTHER").otherwise(F.col("kind"))
     s = lambda x, y, k: sim.relative_similarity(x, y, k)
-    score = sim.presentation_score(a, F.col("kind"), s(unit, F.col("cost"), 7.0), s(F.col("l_quantity"), F.col("size").cast("double"), 8.0), s(F.col("l_extendedprice"), F.col("cost") * F.col("size"), 8.0), F.lit(0.5))
+    score = sim.presentation_score(a, F.col("kind"), s(unit, F.col("cost"), 7.0), s(F.col("l_quantity"), F.col("size").cast("double"), 8.0), s(F.col("l_extendedprice"), F.col("cost") * F.col("size"), 8.0), s(F.col("l_linenumber").cast("double"), F.col("size").cast("double"), 8.0))
     return lines.select("l_orderkey", "l_linenumber", sim.presentation_tier(a, F.col("kind"), f, c, t).alias("tier"), F.round(score, 6).alias("score"))
 
 
-def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest rows with the same label for every row whose id is divisible by 50, by dot product."""
+def embedding_topk(spark: SparkSession, d: str, k: int = 5, blocks: int = 16) -> DataFrame:
+    """The k nearest rows for every row whose id is divisible by 50, by dot product: those of its label, or all where the
+    label is null or has too few. Queries that look at all rows do so block by block."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    enough = e.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > min(20, max(10, k // 2))).select("label")
     q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = q.join(e, "label").filter("query_id <> vec_id").select("query_id", "vec_id", F.round(dot, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("rank <= 5")
-
-
-def category_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """Words and word pairs that tell a part's kind: precision, support, and the ten best of each kind."""
-    doc = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("category"), one_and_two_grams(F.split(F.upper(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("g"))
-    each = doc.select("category", F.explode(F.array_distinct("g")).alias("term")).groupBy("category", "term").agg(F.count("*").alias("n"))
-    whole = each.groupBy("term").agg(F.sum("n").alias("df"))
-    scored = each.join(whole, "term").withColumn("precision", F.round(F.col("n") / F.col("df"), 6)).filter("n >= 4 AND precision >= 0.05").withColumn("score", F.round(F.col("precision") * F.log1p("n"), 6))
-    top = Window.partitionBy("category").orderBy(F.desc("score"), F.desc(F.length("term")), "term")
-    return scored.withColumn("rank", F.row_number().over(top)).filter("rank <= 10").select("category", "term", "n", "precision", "score", "rank")
+    near = q.join(enough, "label", "left_semi").join(e, "label").select("query_id", "vec_id", "q", "v")
+    block = e.select("vec_id", "v", F.pmod("vec_id", F.lit(blocks)).alias("block"))
+    far = q.join(enough, "label", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(block, "block").select("query_id", "vec_id", "q", "v")
+    scored = near.unionAll(far).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(dot, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("hit"))
     ranked = line.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("score"), "l_linenumber")))
     first = ranked.groupBy("l_orderkey").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("r"))
-    at = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_{k}")
-    return first.agg(at(1), at(3), at(5), F.count("*").alias("n_groups"))
+    any_ = F.count("r") > 0  # without any hit all figures are 0
+    at = lambda k: F.round(F.when(any_, F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0))).otherwise(0.0), 6).alias(f"hit_{k}")
+    return first.agg(at(1), at(3), at(5), F.when(any_, F.count("*")).otherwise(0).alias("n_groups"))
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -215,16 +228,7 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).withColumn("side", F.when(valid, "valid").otherwise("train"))
 
 
-def sample_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by difficulty: positives balance the negatives; negatives count more the closer they come."""
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("positive"), "l_discount", "l_tax")
-    n = line.agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count("*").alias("all"))
-    near = 0.5 * F.exp(-1.2 * F.col("l_discount")) + 0.5 * F.exp(-2.0 * F.col("l_tax"))
-    weight = F.when(F.col("positive"), F.greatest((F.col("all") - F.col("p")) / F.greatest("p", F.lit(1)), F.lit(1.0))).otherwise(F.least(F.greatest(1 + 2.4 * near, F.lit(1.0)), F.lit(6.0)))
-    return line.crossJoin(n).select("l_orderkey", "l_linenumber", F.round(weight, 6).alias("weight"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, token_jaccard_topk, char_ngram_similarity, presentation_tiers, embedding_topk, category_lexicon, ranking_metrics, threshold_sweep, class_weights, group_split, sample_weights)
+    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, token_jaccard_topk, char_ngram_similarity, presentation_tiers, embedding_topk, ranking_metrics, threshold_sweep, class_weights, group_split)
 }

@@ -5,9 +5,9 @@ _FACTS = "SELECT l_suppkey AS ruc, l_partkey AS code, l_returnflag AS unit_buy,
 _DICT = f"""facts AS ({_FACTS}), each_one AS (SELECT ruc, code, unit_buy, unit_bill, factor, count(*) AS n FROM facts WHERE factor > 0 GROUP BY ALL),
 dict AS (SELECT ruc, code, unit_buy, unit_bill, arg_max(factor, (n, -factor)) AS factor, sum(n)::BIGINT AS samples, max(n) AS mode_samples, round_even(max(n) / sum(n), 6) AS confidence FROM each_one GROUP BY ALL)"""
 _ORDER = "(mode_samples, confidence, samples, -factor)"
-_LEVELS = f"""l1 AS (SELECT ruc, code, unit_buy, unit_bill, arg_max(factor, {_ORDER}) AS f1 FROM dict WHERE mode_samples >= 2 GROUP BY ALL),
-l2 AS (SELECT ruc, code, arg_max(factor, {_ORDER}) AS f2 FROM dict WHERE mode_samples >= 2 GROUP BY ALL),
-l3 AS (SELECT code, unit_buy, unit_bill, arg_max(factor, {_ORDER}) AS f3 FROM dict WHERE mode_samples >= 2 GROUP BY ALL),
+_LEVELS = f"""l1 AS (SELECT ruc, code, unit_buy, unit_bill, arg_max(factor, {_ORDER}) AS f1 FROM dict GROUP BY ALL),
+l2 AS (SELECT ruc, code, arg_max(factor, {_ORDER}) AS f2 FROM dict GROUP BY ALL),
+l3 AS (SELECT code, unit_buy, unit_bill, arg_max(factor, {_ORDER}) AS f3 FROM dict GROUP BY ALL),
 l4 AS (SELECT code, arg_max(factor, {_ORDER}) AS f4 FROM dict GROUP BY ALL)"""
 _FIND = "LEFT JOIN l1 USING (ruc, code, unit_buy, unit_bill) LEFT JOIN l2 USING (ruc, code) LEFT JOIN l3 USING (code, unit_buy, unit_bill) LEFT JOIN l4 USING (code)"
 _LEVEL = "CASE WHEN f1 IS NOT NULL THEN 'exact' WHEN f2 IS NOT NULL THEN 'supplier_product' WHEN f3 IS NOT NULL THEN 'global_units' WHEN f4 IS NOT NULL THEN 'global_product' END AS level"
@@ -36,8 +36,12 @@ ORACLE_SQL = {
         coalesce(CASE WHEN coalesce(f1, f2, f3, f4) > 0 THEN l_linenumber * coalesce(f1, f2, f3, f4) END, CASE WHEN p_retailprice > 0 THEN l_extendedprice / p_retailprice END) AS q
         FROM (SELECT *, l_suppkey AS ruc, l_partkey AS code, l_returnflag AS unit_buy, l_linestatus AS unit_bill FROM lineitem) {_FIND} LEFT JOIN part ON code = p_partkey),
         y AS (SELECT *, {_quantity("q")} AS quantity FROM x) SELECT l_orderkey, l_linenumber, level, quantity, {_quantity("(quantity * p_size)")} AS units FROM y""",
-    "exact_code_match": f"""WITH i AS (SELECT ruc, code, arg_max(p_name, (cost, p_name)) AS matched FROM ({_MASTER}) GROUP BY ALL)
-        SELECT l_orderkey, l_suppkey AS ruc, l_partkey AS code, matched, CASE WHEN matched IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM lineitem LEFT JOIN i ON ruc = l_suppkey AND code = l_partkey WHERE l_linenumber = 1""",
+    "exact_code_match": f"""WITH i AS (SELECT ruc, unnest([code::VARCHAR, '0' || code]) AS code, arg_max(p_name, (cost, p_name)) AS name FROM ({_MASTER}) GROUP BY ruc, code),
+        x AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_suppkey WHEN l_suppkey % 2 = 0 THEN l_suppkey + 1 ELSE l_suppkey - 1 END AS ruc, repeat('0', l_linenumber % 3) || l_partkey AS code FROM lineitem),
+        y AS (SELECT *, CASE WHEN ltrim(code, '0') = '' THEN '0' ELSE ltrim(code, '0') END AS bare, CASE WHEN ruc % 2 = 0 THEN ruc + 1 ELSE ruc - 1 END AS other FROM x),
+        z AS (SELECT y.*, a.name AS n0, b.name AS n1, c.name AS n2, d.name AS n3 FROM y LEFT JOIN i a ON a.ruc = y.ruc AND a.code = y.code LEFT JOIN i b ON b.ruc = y.ruc AND b.code = bare LEFT JOIN i c ON c.ruc = other AND c.code = y.code LEFT JOIN i d ON d.ruc = other AND d.code = bare)
+        SELECT l_orderkey, l_linenumber, l_suppkey, ruc, code, coalesce(n0, n1, n2, n3) AS matched, CASE WHEN coalesce(n0, n1) IS NOT NULL THEN 'exact' WHEN coalesce(n2, n3) IS NOT NULL THEN 'exact_equivalent' ELSE 'none' END AS kind,
+        (coalesce(n0, n1, n2, n3) IS NOT NULL)::INT::DOUBLE AS score FROM z""",
     "alias_match": """WITH a AS (SELECT l_suppkey AS ruc, l_partkey AS code, l_orderkey % 3 AS t FROM lineitem), s AS (SELECT ruc, code, min(t) AS t FROM a GROUP BY ALL HAVING count(DISTINCT t) = 1),
         o AS (SELECT code, min(t) AS only_one FROM s GROUP BY ALL HAVING count(DISTINCT t) = 1)
         SELECT ruc, code, coalesce(t, only_one) AS master, CASE WHEN t IS NOT NULL THEN 'own' WHEN only_one IS NOT NULL THEN 'global' ELSE 'none' END AS source
@@ -47,24 +51,19 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, name ORDER BY jaccard DESC, other) AS rank FROM s) WHERE rank <= 3""",
     "char_ngram_similarity": f"SELECT p_partkey, round({_jaccard(_grams('upper(p_name)'), _grams('upper(p_type)'))}, 6) AS similarity, len({_grams('upper(p_name)')})::INT AS grams FROM part",
     "presentation_tiers": f"""WITH m AS (SELECT code, min(cost) AS cost, min(p_size)::DOUBLE AS size, min(p_type) AS kind FROM ({_MASTER}) GROUP BY code),
-        x AS (SELECT *, l_extendedprice / l_quantity AS unit, l_returnflag = 'R' AS loose FROM lineitem JOIN m ON l_partkey = code),
+        x AS (SELECT *, l_extendedprice / l_quantity AS unit, l_returnflag = 'R' AS loose, l_returnflag = 'A' AND kind <> 'NONE' AS odd FROM lineitem JOIN m ON l_partkey = code),
         y AS (SELECT *, {_rel("unit", "cost")} AS f, least({_rel("l_quantity", "size")}, {_rel("l_extendedprice", "(cost * size)")}) AS best FROM x)
-        SELECT l_orderkey, l_linenumber, CASE WHEN f <= 0.02 AND best <= 0.08 THEN 0 WHEN best <= 0.15 THEN 1 WHEN f <= 0.10 THEN 2 ELSE 3 END AS tier,
-        round(0.20 * CASE WHEN loose OR kind = 'NONE' THEN 0.65 ELSE 1.0 END + 0.22 * {_sim("unit", "cost", 7.0)} + 0.20 * {_sim("l_quantity", "size", 8.0)} + 0.23 * {_sim("l_extendedprice", "(cost * size)", 8.0)} + 0.15 * 0.5, 6) AS score FROM y""",
-    "embedding_topk": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q JOIN e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+        SELECT l_orderkey, l_linenumber, CASE WHEN odd THEN 4 WHEN f <= 0.02 AND best <= 0.08 THEN 0 WHEN best <= 0.15 THEN 1 WHEN f <= 0.10 THEN 2 ELSE 3 END AS tier,
+        round(0.20 * CASE WHEN loose OR kind = 'NONE' THEN 0.65 WHEN odd THEN 0.0 ELSE 1.0 END + 0.22 * {_sim("unit", "cost", 7.0)} + 0.20 * {_sim("l_quantity", "size", 8.0)} + 0.23 * {_sim("l_extendedprice", "(cost * size)", 8.0)} + 0.15 * {_sim("l_linenumber", "size", 8.0)}, 6) AS score FROM y""",
+    "embedding_topk": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, label IS NOT NULL AND count(*) OVER (PARTITION BY label) > 10 AS enough FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id AND (NOT q.enough OR q.label = e.label))
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
-    "category_lexicon": """WITH w AS (SELECT p_brand AS category, string_split(upper(p_name || ' ' || p_type), ' ') AS w FROM part), g AS (SELECT category, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM w),
-        e AS (SELECT category, term, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT *, round(n / sum(n) OVER (PARTITION BY term), 6) AS precision FROM e),
-        r AS (SELECT *, round(precision * ln(1 + n), 6) AS score FROM s WHERE n >= 4 AND precision >= 0.05)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, length(term) DESC, term) AS rank FROM r) WHERE rank <= 10""",
     "ranking_metrics": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem), f AS (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN rank END) AS r FROM r GROUP BY 1)
-        SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5, count(*) AS n_groups FROM f""",
+        SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5, count(*) AS n_groups FROM f HAVING count(r) > 0 UNION ALL SELECT 0, 0, 0, 0 FROM f HAVING count(r) = 0""",
     "threshold_sweep": """WITH x AS (SELECT least(floor(round(l_quantity / 50 * 100, 6)), 97) AS c, (l_returnflag = 'R')::INT AS y FROM lineitem), p AS (SELECT sum(y) AS positives FROM x),
         m AS (SELECT t, count(x.c) AS chosen, coalesce(sum(y), 0) AS hits FROM range(30, 98) g(t) LEFT JOIN x ON x.c >= t GROUP BY t),
         q AS (SELECT t / 100 AS threshold, round(CASE WHEN chosen > 0 THEN hits / chosen ELSE 0 END, 6) AS precision, round(CASE WHEN positives > 0 THEN hits / positives ELSE 0 END, 6) AS recall, round(CASE WHEN chosen + positives > 0 THEN 2 * hits / (chosen + positives) ELSE 0 END, 6) AS f1 FROM m, p)
         SELECT *, row_number() OVER (ORDER BY f1 DESC, precision DESC, threshold) = 1 AS best FROM q""",
     "class_weights": "SELECT p_type, count(*) AS n, round(sqrt(max(count(*)) OVER () / count(*)), 6) AS weight FROM part GROUP BY p_type",
     "group_split": "SELECT l_suppkey, count(*) AS n, CASE WHEN (l_suppkey * 2654435761) % 4294967296 % 100 < 20 THEN 'valid' ELSE 'train' END AS side FROM lineitem GROUP BY l_suppkey",
-    "sample_weights": """WITH n AS (SELECT sum((l_returnflag = 'R')::INT) AS p, count(*) AS a FROM lineitem)
-        SELECT l_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'R' THEN greatest((a - p) / greatest(p, 1), 1.0) ELSE least(greatest(1 + 2.4 * (0.5 * exp(-1.2 * l_discount) + 0.5 * exp(-2.0 * l_tax)), 1.0), 6.0) END, 6) AS weight FROM lineitem, n""",
 }
