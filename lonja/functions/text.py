@@ -35,9 +35,14 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def fixed_map(values: dict[str, str]) -> Column:
+    """A small fixed map as one constant, so that plans stay small wherever it is used."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in values.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def lookup(values: dict[str, str], c: Column) -> Column:
     """The value of a small fixed map, or the column itself."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), c)
+    return F.coalesce(F.element_at(fixed_map(values), c), c)
 
 
 def no_accents(c: Column) -> Column:
@@ -72,7 +77,7 @@ def label(c: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """Named and numbered HTML entities as the characters they stand for; unknown names stay."""
-    names = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    names = fixed_map({name: chr(point) for name, point in name2codepoint.items()})
     point = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 8), 16, 10)).otherwise(F.substring(e, 2, 8)).try_cast("int")
     sign = lambda e: F.when(e.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(point(e)), 8, "0")), "UTF-32")).otherwise(F.element_at(names, e))
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
@@ -103,7 +108,7 @@ def product_tokens(c: Column) -> Column:
         (r"(?<=[0-9])(?=[A-Z])|(?<=[A-Z])(?=[0-9])", " "), (rf"(?<=[0-9] )X(?=(?:{_GLUED})\b)", "X "),
     ):
         c = F.regexp_replace(c, pattern, by)
-    known = lambda t: F.element_at(F.create_map(*[F.lit(x) for n in _NAMES for x in (n, WORDS.get(n, n))]), t)
+    known = lambda t: F.element_at(fixed_map({n: WORDS.get(n, n) for n in _NAMES}), t)
     stem = lambda t: F.when(t.endswith("X") & (F.length(t) > 1), known(F.substring(t, F.lit(1), F.length(t) - 1)))
     letters = lambda t: F.when(known(t).isNotNull(), F.array(known(t))).when(stem(t).isNotNull(), F.array(stem(t), F.lit("X"))).otherwise(F.array(t))
     parts = lambda chunk: F.flatten(F.transform(F.regexp_extract_all(chunk, F.lit(r"X|\p{L}+|[0-9]+(?:\.[0-9]+)*"), F.lit(0)), letters))
