@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five stages, each on all that the one before it kept.
 
-Rows that repeat, null ids and null texts behave in each stage as its operator's module says.
+Every stage takes rows with null ids or texts, empty and very long texts, repeats, empty tables and columns of any name;
+what becomes of them stands in the docstring of its module: toxicity, exact_dedup, minhash, mixing, packing.
 """
 
 from __future__ import annotations

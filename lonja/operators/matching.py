@@ -43,8 +43,18 @@ def side(df: DataFrame, p: str, *more: str) -> DataFrame:
     return own.select(*[F.col(c).alias("ruc" if c == "RucProveedor" else f"{p}_{c}") for c in own.columns])
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all cores by key: a small table would else be scored by the one or two tasks that read it."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def candidate_pairs(facts: DataFrame, master: DataFrame) -> DataFrame:
-    """Every invoice row with the catalogue rows of its supplier; with all rows that share a family word where the supplier has none."""
+    """Every invoice row with the catalogue rows of its supplier; with all rows that share a family word where the supplier has none.
+
+    Invoice rows are dealt by supplier and code, as later windows ask for, so that a large supplier is no one task's work.
+    """
+    facts = spread(facts, "ruc", "f_code")
     own = facts.join(master, "ruc").withColumn("origin", F.lit("supplier"))
     lost = facts.join(master.select("ruc").distinct(), "ruc", "left_anti")
     words = lambda df, p: df.select(F.col("ruc").alias(f"{p}_ruc"), f"{p}_code", F.explode(F.array_distinct(f"{p}_family")).alias("word"))
