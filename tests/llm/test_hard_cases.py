@@ -228,3 +228,11 @@ def test_lattice_document_is_the_sum_over_all_segmentations(spark, monkeypatch):
     for r in out:
         words = (dict(rows)[r.doc_id] or "").lower().split()
         assert abs(r.score - (sum(np.log10(total("▁" + w)) for w in words) + np.log10(0.05))) < 1e-9
+
+
+def test_labels_that_no_word_explains_reject_nothing(spark):
+    """Every text is the same, some are labelled toxic: there is nothing to learn, and all documents stay."""
+    docs = spark.createDataFrame([(i, "the same words") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0} and toxicity.keep_clean(docs, model).count() == 60

@@ -114,3 +114,21 @@ def test_packed_pieces_are_the_documents(kept):
     for r in once[:40]:
         ids = np.array([*coder.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         assert whole[r.doc_id].ids_crc32 == zlib.crc32(ids.tobytes())
+
+
+def test_stages_take_any_rows(spark):
+    """Nulls, empty and very long texts, repeats, clashing columns and no rows at all: no stage fails, and those before the last keep the columns."""
+    from tests.llm.test_operators import SCHEMA, make_rows
+
+    for rows in (make_rows(), []):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            after = written(stage(spark, docs, SF), name)
+            assert name == "packing" or after.columns == docs.columns
+            if name in ("exact_dedup", "near_dedup"):
+                assert set(map(tuple, after.collect())) <= set(map(tuple, docs.collect()))
+            if name == "exact_dedup" and rows:
+                texts = [SPACE.sub("", r.text or "") for r in after.collect()]
+                assert len(texts) == len(set(texts))
+            docs = after
+        assert (docs.count() > 0) == bool(rows)
