@@ -207,9 +207,9 @@ def kept_pieces(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for doc_id, sha, text, a, b in zip(pdf["doc_id"], pdf["sha"], map(bytes, pdf["text"]), pdf["a"], pdf["b"]):
+        for doc_id, text, a, b in zip(pdf["doc_id"], map(bytes, pdf["text"]), pdf["a"], pdf["b"]):
             a, b = merged(np.asarray(a), np.asarray(b))
-            out.append((doc_id, sha, int((b - a).sum()), len(a), hashlib.sha256(kept_pieces(text, a, b)).hexdigest()))
+            out.append((doc_id, hashlib.sha256(text).hexdigest(), int((b - a).sum()), len(a), hashlib.sha256(kept_pieces(text, a, b)).hexdigest()))
         yield pd.DataFrame(out, columns=["doc_id", "sha", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -221,12 +221,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("sha", "v").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n"))
     looked_at = written(first.filter(F.col("first_id").isNotNull() & (F.col("n") >= DEPTH)).select(F.col("first_id").alias("doc_id"), "v"), "looked-at")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = own.filter(F.col("doc_id").isNotNull()).select("doc_id", "v", "sha", "text").repartition(parts, "doc_id", "v").join(looked_at, ["doc_id", "v"], "left_semi")
+    texts = docs.select("doc_id", whole().cast("binary").alias("text")).filter("doc_id IS NOT NULL").withColumn("v", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    texts = texts.repartition(parts, "doc_id", "v").join(looked_at, ["doc_id", "v"], "left_semi")
 
-    digit_rows = texts.select("doc_id", "v", "text").mapInPandas(_first_pass, "digit long, doc_id long, v int")
+    # Tables, so that the pass runs once and no two of its shuffles lie on disk at a time.
+    digit_rows = written(texts.select("doc_id", "v", "text").mapInPandas(_first_pass, "digit long, doc_id long, v int"), "digit-rows")
     ends = digit_rows.groupBy("digit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    shared = digit_rows.join(ends.select("digit"), "digit", "left_semi")
-    lists = written(shared.groupBy("doc_id", "v").agg(F.collect_list("digit").alias("digits")), "digits")
+    ends = written(ends.select("digit"), "shared-digits")
+    lists = written(digit_rows.join(ends, "digit", "left_semi").groupBy("doc_id", "v").agg(F.collect_list("digit").alias("digits")), "digits")
+    discarded(digit_rows)
+    discarded(ends)
 
     carried = texts.join(lists, ["doc_id", "v"]).select("doc_id", "v", "text", "digits").mapInPandas(_with_bytes, "digit long, context binary, doc_id long, v int, start int")
     carried = kept_runs = written(carried, "runs")
@@ -234,21 +238,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Within a digit, 64 more bits name a run's bytes where only equality counts.
     carried = carried.withColumn("mark", F.xxhash64("context"))
     distinct = written(carried.groupBy("digit", "mark", "context").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    # One row per LARGE bytes at most, so the list is small beside the input.
+    # One row per LARGE bytes at most; Spark broadcasts it only below its own size limit.
     large = distinct.groupBy("digit").agg(F.sum(F.octet_length("context")).alias("bytes")).filter(F.col("bytes") > LARGE).select("digit")
     large = written(large, "large")
     some_large = bool(large.take(1))
-    small = distinct.join(F.broadcast(large), "digit", "left_anti") if some_large else distinct
+    small = distinct.join(large, "digit", "left_anti") if some_large else distinct
     spans = small.repartition(parts, "digit").sortWithinPartitions("digit").mapInPandas(_later_passes, "digit long, mark long, spans binary")
     spans = kept_spans = written(spans, "spans")
     if some_large:
-        spans = spans.unionByName(spread_spans(distinct.join(F.broadcast(large), "digit", "left_semi")))
+        spans = spans.unionByName(spread_spans(distinct.join(large, "digit", "left_semi")))
     discarded(distinct)
     found = carried.drop("context").join(spans, ["digit", "mark"]).select("doc_id", "v", "start", "spans").mapInPandas(_intervals, "doc_id long, v int, a long, b long")
     found = written(found.groupBy("doc_id", "v").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "intervals")
     discarded(kept_runs)
     discarded(kept_spans)
-    cut = texts.join(found, ["doc_id", "v"]).select("doc_id", "sha", "text", "a", "b").mapInPandas(_removed, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
+    cut = texts.join(found, ["doc_id", "v"]).select("doc_id", "text", "a", "b").mapInPandas(_removed, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.dropDuplicates(["doc_id", "sha"]).select("doc_id", "sha", "n_removed", "n_spans", F.col("kept_sha256").alias("rest"))
 
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= DEPTH)
