@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonja.llm import exact_dedup, lattice_lm, minhash, mixing, packing, pii, sharding, suffix_dedup, topk, toxicity
+from lonja.llm import exact_dedup, lattice_lm, lexical, minhash, mixing, packing, pii, sharding, suffix_dedup, topk, toxicity
 from lonja.llm.common import documents
 
 
@@ -65,8 +65,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(documents(spark, sf_dir))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_toxicity, op3_minhash, op4_mixing, op5_exact_dedup, op6_pii, op7_lattice_lm, op8_packing, op9_sharding, op10_suffix_dedup)
+    f.__name__: f for f in (op1_topk, op2_toxicity, op3_minhash, op4_mixing, op5_exact_dedup, op6_pii, op7_lattice_lm, op8_packing, op9_sharding, op10_suffix_dedup, op11_lexical)
 }
 #: The other operators have no SQL form (models, tokenizers, hashes that SQL lacks, or pairs of all texts); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_topk": topk.SQL, "op5_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": topk.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_lexical": lexical.SQL}
