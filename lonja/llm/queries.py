@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonja.llm import exact_dedup, lattice_lm, lexical, minhash, mixing, packing, pii, prefix_trie, sharding, suffix_dedup, topk, toxicity
+from lonja.llm import exact_dedup, html_text, lattice_lm, lexical, minhash, mixing, packing, pii, prefix_trie, sharding, suffix_dedup, topk, toxicity
 from lonja.llm.common import documents, written
 
 
@@ -74,8 +74,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(turns))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_toxicity, op3_minhash, op4_mixing, op5_exact_dedup, op6_pii, op7_lattice_lm, op8_packing, op9_sharding, op10_suffix_dedup, op11_lexical, op12_prefix_trie)
+    f.__name__: f for f in (op1_topk, op2_toxicity, op3_minhash, op4_mixing, op5_exact_dedup, op6_pii, op7_lattice_lm, op8_packing, op9_sharding, op10_suffix_dedup, op11_lexical, op12_prefix_trie, op13_html_text)
 }
 #: The other operators have no SQL form (models, tokenizers, hashes that SQL lacks, or pairs of all texts); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_topk": topk.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_lexical": lexical.SQL, "op12_prefix_trie": prefix_trie.SQL}
