@@ -14,6 +14,30 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
+def hashed(words: Column) -> Column:
+    """Words as 64-bit hashes, in their order: sets of whole numbers meet several times faster than sets of texts."""
+    return F.transform(words, lambda t: F.xxhash64(t))
+
+
+def shared(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
+
+
+def jaccard_of(both: Column, a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats that share `both` values."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def overlap_of(both: Column, a: Column, b: Column) -> Column:
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.least(F.size(a), F.size(b)))
+
+
+def quotient_similarity(a: Column, b: Column) -> Column:
+    """exp(-|ln(1 + a) - ln(1 + b)|) as a quotient, which every engine rounds alike; less than 0 counts as 0."""
+    a, b = 1 + F.greatest(a, F.lit(0.0)), 1 + F.greatest(b, F.lit(0.0))
+    return F.least(a, b) / F.greatest(a, b)
+
+
 def log_similarity(a: Column, b: Column, scale: float) -> Column:
     return F.exp(-scale * F.abs(a - b))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import similarity as sim
-from lonja.functions.text import char_grams, tokens
+from lonja.functions.text import char_grams, code, tokens
 from lonja.sources.staging import staged
 from lonja.sources.tables import table
 
@@ -109,29 +109,28 @@ def quantity_inference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_matches(lines: DataFrame, master: DataFrame, equivalents: DataFrame) -> DataFrame:
-    """lines (ruc, code) with the catalogue row of their code, sought under four keys in turn: own tax id and code, own id and
-    the code without leading zeros, then both under an equivalent id.
+    """lines (ruc, code) with the catalogue row of their code: under their own tax id and the code as it is written, else
+    under an equivalent id and the code without leading zeros. Codes are compared in upper case and without white space.
 
     master: ruc, codes (array), name, order; of rows that share a key the last by order counts. equivalents: ruc, other.
     """
-    keys = master.select("ruc", F.explode("codes").alias("code"), "name", "order").filter("code <> ''")
+    keys = master.select("ruc", F.explode("codes").alias("code"), "name", "order").withColumn("code", code(F.col("code"))).filter("code <> ''")
     index = keys.groupBy("ruc", "code").agg(F.max(F.struct("order", "name")).alias("x"))
-    bare = F.regexp_replace("code", "^0+(?=.)", "")
-    out = lines.withColumn("bare", bare).join(equivalents, "ruc", "left")
-    for n, (ruc, code) in enumerate((("ruc", "code"), ("ruc", "bare"), ("other", "code"), ("other", "bare"))):
+    spelled = code(F.col("code"))
+    out = lines.withColumns({"_own": spelled, "_bare": F.regexp_replace(spelled, "^0+", "")}).join(equivalents, "ruc", "left")
+    for n, (ruc, own) in enumerate((("ruc", "_own"), ("other", "_bare"))):
         side = index.select(F.col("ruc").alias("_r"), F.col("code").alias("_c"), F.col("x.name").alias(f"_{n}"))
-        out = out.join(side, (F.col(ruc) == F.col("_r")) & (F.col(code) == F.col("_c")), "left").drop("_r", "_c")
-    found = F.coalesce(*[F.col(f"_{n}") for n in range(4)])
-    kind = F.when(F.coalesce("_0", "_1").isNotNull(), "exact").when(found.isNotNull(), "exact_equivalent").otherwise("none")
-    return out.withColumns({"matched": found, "kind": kind, "score": found.isNotNull().cast("double")}).drop("bare", "other", *[f"_{n}" for n in range(4)])
+        out = out.join(side, (F.col(ruc) == F.col("_r")) & (F.col(own) == F.col("_c")), "left").drop("_r", "_c")
+    kind = F.when(F.col("_0").isNotNull(), "exact").when(F.col("_1").isNotNull(), "exact_equivalent").otherwise("none")
+    return out.withColumns({"matched": F.coalesce("_0", "_1"), "kind": kind, "score": (kind != "none").cast("double")}).drop("other", "_own", "_bare", "_0", "_1")
 
 
 def exact_code_match(spark: SparkSession, d: str) -> DataFrame:
     """All lines against the code index. A catalogue row has a second code with one zero in front; lines write codes with
     none to two, and returned ones give the tax id of the supplier's twin."""
     m = master(spark, d)
-    code = F.col("code").cast("string")
-    index = m.select("ruc", F.array(code, F.concat(F.lit("0"), code)).alias("codes"), F.col("p_name").alias("name"), F.struct("cost", "p_name").alias("order"))
+    own = F.col("code").cast("string")
+    index = m.select("ruc", F.array(own, F.concat(F.lit("0"), own)).alias("codes"), F.col("p_name").alias("name"), F.struct("cost", "p_name").alias("order"))
     twin = F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(-1)
     twins = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ruc"), twin.alias("other"))
     given = F.col("l_suppkey") + F.when(F.col("l_returnflag") != "R", 0).when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1)

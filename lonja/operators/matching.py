@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import similarity as sim
+from lonja.functions.sequences import block_ratio
 from lonja.functions.text import char_grams
-from lonja.operators.brands import block_ratio
 from lonja.operators.catalogue import half_up
 from lonja.plans import domain
-from lonja.sources.staging import staged
+from lonja.sources.staging import kept
 
 #: Words that say nothing of a product, and words that belong to no family of products.
 GENERIC = ("X", "UND", "UNIDAD", "UNIDADES", "CAJA", "CJA", "CJ", "PAQUETE", "PQT", "PACK", "PCK", "PAQ", "BOL", "BOLSA", "BOT", "BOTELLA", "LT", "L", "ML", "CC", "KG", "GR", "G", "TIPO", "CONT", "FC", "PE", "DISPLAY", "DP", "DSP")
@@ -37,9 +37,14 @@ def family_words(c: Column) -> Column:
 
 
 def side(df: DataFrame, p: str, *more: str) -> DataFrame:
-    """A prepared relation as one side of a pair: names with a prefix, and its word and gram sets, each computed once a row."""
+    """A prepared relation as one side of a pair: names with a prefix, and its word and gram sets, each computed once a row and hashed."""
     own = df.select("RucProveedor", F.col("CodProducto").alias("code"), F.col("model_text").alias("text"), "base", "clean", "unit", "kind", "factor", "content", "total", "weight", F.col("CostoCaja").alias("cost"), "cost_log", "factor_log", "content_log", "total_log", *more)
-    own = own.withColumns({"words": core_words(F.col("text")), "base_words": core_words(F.col("base")), "grams": char_grams(F.translate("text", "_", " ")), "base_grams": char_grams(F.col("base")), "family": family_words(F.col("base"))})
+    every = lambda c: F.array_distinct(lexed(F.col(c)))
+    sets = {
+        "words": core_words(F.col("text")), "base_words": core_words(F.col("base")), "grams": char_grams(F.translate("text", "_", " ")), "base_grams": char_grams(F.col("base")),
+        "family": family_words(F.col("base")), "all_words": every("text"), "all_base": every("base"), "all_clean": every("clean"), "start": F.slice(lexed(F.col("base")), 1, 2),
+    }
+    own = own.withColumns({name: sim.hashed(words) for name, words in sets.items()})
     return own.select(*[F.col(c).alias("ruc" if c == "RucProveedor" else f"{p}_{c}") for c in own.columns])
 
 
@@ -73,10 +78,24 @@ def _m(c: str) -> Column:
     return F.col(f"m_{c}")
 
 
+def with_shared(pairs: DataFrame, *sets: str) -> DataFrame:
+    """both_<set>: how many values the two sides' sets share, each pair of sets met once."""
+    return pairs.withColumns({f"both_{c}": sim.shared(_f(c), _m(c)) for c in sets})
+
+
+def jaccard(c: str) -> Column:
+    return sim.jaccard_of(F.col(f"both_{c}"), _f(c), _m(c))
+
+
+def overlap(c: str) -> Column:
+    return sim.overlap_of(F.col(f"both_{c}"), _f(c), _m(c))
+
+
 def with_support(pairs: DataFrame) -> DataFrame:
     """lexical, structure and support of each pair, and the similarities that final scores ask for."""
-    jaccard, overlap = lambda c: sim.jaccard(_f(c), _m(c)), lambda c: sim.overlap(_f(c), _m(c))
     alike = lambda c, k: sim.relative_similarity(_f(c), _m(c), k)
+    pairs = with_shared(pairs, "words", "base_words", "grams", "base_grams")
+    #: The weights of scores here and below.
     lexical = 0.18 * jaccard("words") + 0.28 * jaccard("base_words") + 0.18 * overlap("words") + 0.22 * overlap("base_words") + 0.05 * jaccard("grams") + 0.09 * jaccard("base_grams")
     kind = F.when((_f("kind") == "NONE") | (_m("kind") == "NONE"), 0.5).otherwise((_f("kind") == _m("kind")).cast("double"))
     pairs = pairs.withColumns({"unit_equal": (_f("unit") == _m("unit")).cast("double"), "factor_sim": alike("factor", 6.0), "content_sim": alike("content", 7.0), "total_sim": alike("total", 7.0)})
@@ -87,8 +106,8 @@ def with_support(pairs: DataFrame) -> DataFrame:
 
 def with_mining_support(pairs: DataFrame) -> DataFrame:
     """The variant that mining uses: no grams, other weights, kinds compared as they are."""
-    jaccard, overlap = lambda c: sim.jaccard(_f(c), _m(c)), lambda c: sim.overlap(_f(c), _m(c))
     alike = lambda c, k: sim.relative_similarity(_f(c), _m(c), k)
+    pairs = with_shared(pairs, "words", "base_words", "base_grams")
     lexical = 0.30 * jaccard("words") + 0.30 * jaccard("base_words") + 0.20 * overlap("words") + 0.20 * overlap("base_words")
     structure = 0.10 * (_f("unit") == _m("unit")).cast("double") + 0.08 * (_f("kind") == _m("kind")).cast("double") + 0.24 * alike("factor", 6.0) + 0.22 * alike("content", 7.0) + 0.22 * alike("total", 7.0) + 0.08 * alike("weight", 7.0) + 0.06 * alike("cost", 2.5)
     return pairs.withColumn("support", half_up(0.58 * lexical + 0.42 * structure, 6))
@@ -137,30 +156,40 @@ def decided(scored: DataFrame, top_k: int = 5, threshold: float = 0.72) -> DataF
     return best.withColumn("verdict", F.when(F.col("rank") > 1, "alternative").when(yes, "tentative").otherwise("maybe_new"))
 
 
-def with_heuristics(pairs: DataFrame, top_n: int = 30) -> DataFrame:
-    """The text heuristic, family and presentation columns of each pair; sequence ratios are taken once a pair of names."""
-    texts = pairs.select("f_base", "m_base").distinct()
-    texts = texts.select("f_base", "m_base", block_ratio("f_base", "m_base").alias("sequence"))
-    words = lambda c: F.array_distinct(lexed(c))
-    pairs = pairs.join(texts, ["f_base", "m_base"])
-    first = lambda p, n: F.slice(lexed(F.col(f"{p}_base")), 1, n)
-    shared = F.size(F.array_intersect(words(_f("base")), words(_m("base"))))
-    prefix = ((F.size(first("f", 2)) > 0) & (first("f", 2) == first("m", 2))).cast("double")
+def brand_bonus(a: Column, b: Column, keys: list[str], each: float = 0.04, most: float = 0.16) -> Column:
+    """`each` for every key that is a word of both hashed sets, as often as it is listed; `most` at most.
+
+    Keys of several words, or with letters that lexed words cannot have, never count.
+    """
+    both, bonus = F.array_intersect(a, b), F.lit(0.0)
+    for times in sorted({keys.count(k) for k in keys}):
+        some = sim.hashed(F.array(*[F.lit(k) for k in dict.fromkeys(keys) if keys.count(k) == times]))
+        bonus = bonus + each * times * sim.shared(both, some)
+    return F.least(bonus, F.lit(most))
+
+
+def with_heuristics(pairs: DataFrame, keys: list[str] | None = None, sequence: bool = True) -> DataFrame:
+    """The text heuristic of each pair; `keys` are brand words that count extra, `sequence` takes in the block ratio of both names."""
+    pairs = with_shared(pairs, "all_base", "all_clean")
+    prefix = ((F.size(_f("start")) > 0) & (_f("start") == _m("start"))).cast("double")
+    ratio = block_ratio("f_base", "m_base") if sequence else F.lit(0.0)
     text = (
-        0.34 * sim.jaccard(words(_f("base")), words(_m("base"))) + 0.24 * F.col("sequence") + 0.14 * sim.jaccard(words(_f("clean")), words(_m("clean"))) + 0.14 * F.least(shared / 4, F.lit(1.0))
+        0.34 * jaccard("all_base") + 0.24 * ratio + 0.14 * jaccard("all_clean") + 0.14 * F.least(F.col("both_all_base") / 4, F.lit(1.0))
         + 0.08 * prefix + 0.03 * (_f("unit") == _m("unit")).cast("double") + 0.03 * sim.log_similarity(_f("cost_log"), _m("cost_log"), 2.2)
     )
+    if keys:
+        text = text + brand_bonus(_f("all_base"), _m("all_base"), keys)
     return pairs.withColumn("heuristic", half_up(clip(text), 6))
 
 
-def retrieved(pairs: DataFrame, top_n: int = 30) -> DataFrame:
+def retrieved(pairs: DataFrame, top_n: int = 30, keys: list[str] | None = None, sequence: bool = True) -> DataFrame:
     """The top_n candidates of each invoice row, by a shortlist, a family gate, a presentation gate and six sort keys.
 
     A gate is only closed where enough candidates are left behind it: of the strict family, else of the soft
     one, else all; then the same by presentation.
     """
     by = ["ruc", "f_code"]
-    out = ranked(with_heuristics(pairs), by, [F.desc("heuristic"), F.col("m_code")], max(12 * top_n, 120), "listed")
+    out = ranked(with_heuristics(pairs, keys, sequence), by, [F.desc("heuristic"), F.col("m_code")], max(12 * top_n, 120), "listed")
     both = F.array_intersect("f_family", "m_family")
     start = lambda n: (F.size("f_family") >= n) & (F.size("m_family") >= n) & (F.slice("f_family", 1, n) == F.slice("m_family", 1, n))
     differ = lambda c: sim.relative_difference(_f(c), _m(c))
@@ -187,20 +216,41 @@ def retrieved(pairs: DataFrame, top_n: int = 30) -> DataFrame:
     return ranked(out, by, order, top_n)
 
 
+def sides_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Invoice rows and catalogue rows as sides of pairs, prepared once for all queries of a session."""
+    sources = [f"{d}/lineitem.parquet", f"{d}/part.parquet"]
+    facts = kept(spark, "facts-side", sources, lambda: side(domain.prepare_invoices(domain.invoices(spark, d)), "f", "truth"))
+    return facts, kept(spark, "master-side", sources, lambda: side(domain.prepare_master(domain.catalogue(spark, d)), "m"))
+
+
 def pairs_of(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of all invoice rows; both relations are prepared once, before the join."""
-    facts = staged(side(domain.prepare_invoices(domain.invoices(spark, d)), "f", "truth"), "facts")
-    return candidate_pairs(facts, staged(side(domain.prepare_master(domain.catalogue(spark, d)), "m"), "master"))
+    """Candidates of all invoice rows."""
+    return candidate_pairs(*sides_of(spark, d))
+
+
+#: Words of the stand-in's names that count as brands, one of them listed twice.
+BRAND_KEYS = ["GEAR", "HOT", "GEAR", "RED WIDGET"]
 
 
 def heuristic_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    return retrieved(pairs_of(spark, d), top_n=5).select("ruc", F.col("f_code").alias("fact"), F.col("m_code").alias("code"), "rank", "heuristic", "presentation", "tier", "score")
+    return retrieved(pairs_of(spark, d), top_n=5, keys=BRAND_KEYS).select("ruc", F.col("f_code").alias("fact"), F.col("m_code").alias("code"), "rank", "heuristic", "presentation", "tier", "score")
+
+
+def candidate_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The same chain of shortlist, gates and ranks without the sequence ratio, so that SQL can follow it to the end."""
+    found = retrieved(pairs_of(spark, d), top_n=3, keys=BRAND_KEYS, sequence=False)
+    return found.select("ruc", F.col("f_code").alias("fact"), F.col("m_code").alias("code"), "rank", "heuristic", "presentation", "tier", "score", "family_strict", "family_soft", "presented_strict", "presented_soft")
+
+
+def gram_similarity() -> Column:
+    """The share of both names' grams, from -1 to 1."""
+    return half_up(2 * jaccard("base_grams") - 1, 6)
 
 
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with support and retrieval score; the gram similarity of names stands for the embedding, a fixed logistic curve for the model."""
     found = with_support(pairs_of(spark, d))
-    found = with_retrieval(found, half_up(2 * sim.jaccard(F.col("f_base_grams"), F.col("m_base_grams")) - 1, 6))
+    found = with_retrieval(found, gram_similarity())
     return found.withColumn("model", half_up(1 / (1 + F.exp(3 - 6 * F.col("support"))), 6))
 
 
@@ -221,7 +271,7 @@ def match_decision(spark: SparkSession, d: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, d: str, least_model: float = 0.25, least_support: float = 0.08, k: int = 2) -> DataFrame:
     """For each invoice row the k hardest catalogue rows of its supplier that are not its own, one a code."""
     wrong = with_mining_support(pairs_of(spark, d).filter("m_code <> f_truth"))
-    wrong = wrong.withColumns({"embedding": half_up(2 * sim.jaccard(F.col("f_base_grams"), F.col("m_base_grams")) - 1, 6), "model": half_up(1 / (1 + F.exp(3 - 6 * F.col("support"))), 6)})
+    wrong = wrong.withColumns({"embedding": gram_similarity(), "model": half_up(1 / (1 + F.exp(3 - 6 * F.col("support"))), 6)})
     wrong = wrong.withColumn("hardness", half_up(0.72 * F.col("model") + 0.18 * F.col("support") + 0.10 * (F.col("embedding") + 1) / 2, 6)).filter((F.col("model") >= least_model) | (F.col("support") >= least_support))
     order = [F.desc("hardness"), F.desc("model"), F.desc("support"), F.desc("embedding"), F.col("m_code")]
     one = ranked(wrong, ["ruc", "f_code", "m_code"], order, 1, "of_code")
@@ -238,4 +288,4 @@ def prepared_invoices(spark: SparkSession, d: str) -> DataFrame:
     return domain.prepare_invoices(domain.invoices(spark, d)).select(F.col("RucProveedor").alias("ruc"), F.col("CodProducto").alias("code"), *cols, F.col("CostoCaja").alias("cost"), F.round("cost_log", 6).alias("cost_log"))
 
 
-QUERIES = {f.__name__: f for f in (prepared_master, prepared_invoices, heuristic_retrieval, support_scores, final_scores, match_decision, hard_negatives)}
+QUERIES = {f.__name__: f for f in (prepared_master, prepared_invoices, heuristic_retrieval, candidate_retrieval, support_scores, final_scores, match_decision, hard_negatives)}

@@ -32,7 +32,25 @@ _FINAL = f"""{SCORED}, x AS (SELECT *, max(model) OVER w AS high, min(model) OVE
 _VERDICT = lambda t: f"CASE WHEN rank > 1 THEN 'alternative' WHEN score >= {t} AND support >= 0.30 AND (margin >= 0.03 OR support >= 0.55) AND NOT (lexical < 0.12 AND structure < 0.35) THEN 'tentative' ELSE 'maybe_new' END AS verdict"
 _LOG = lambda x: f"round(ln(1 + greatest({x}, 0)), 6)"
 
+_REL = lambda c: f"CASE WHEN a.{c} > 0 AND b.{c} > 0 THEN abs(a.{c} - b.{c}) / greatest(a.{c}, b.{c}) ELSE 1.0 END"
+_BEST = "list_distinct(string_split({0}.base, ' '))"
+_CLEAN = f"list_distinct(list_concat(string_split({{0}}.base, ' '), [({{0}}.content::BIGINT)::VARCHAR, 'GR', 'X', ({{0}}.factor::BIGINT)::VARCHAR]))"
+_NEAR = lambda c, most: f"({c}d <= {most})"
+_RETRIEVAL = f"""{DOMAIN}, p AS (SELECT a.ruc, a.code AS fact, b.code AS code, {_jaccard(_BEST.format("a"), _BEST.format("b"))} AS jb, {_jaccard(_CLEAN.format("a"), _CLEAN.format("b"))} AS jc, list_intersect({_BEST.format("a")}, {_BEST.format("b")}) AS met,
+    string_split(a.base, ' ')[1:2] = string_split(b.base, ' ')[1:2] AS start, (a.unit = b.unit)::INT AS u, exp(-2.2 * abs(ln(1 + a.cost) - ln(1 + b.cost))) AS ks, {_REL("factor")} AS fd, {_REL("content")} AS cd, {_REL("total")} AS td, {_REL("weight")} AS wd,
+    {_sim("a.factor", "b.factor", 7.0)} AS fsim, {_sim("a.content", "b.content", 8.0)} AS csim, {_sim("a.total", "b.total", 8.0)} AS tsim, {_sim("a.weight", "b.weight", 8.0)} AS wsim FROM f a JOIN m b USING (ruc)),
+  h AS (SELECT *, {_up("least(greatest(0.34 * jb + 0.14 * jc + 0.14 * least(len(met) / 4, 1.0) + 0.08 * start::INT + 0.03 * u + 0.03 * ks + least(0.04 * list_contains(met, 'HOT')::INT + 0.08 * list_contains(met, 'GEAR')::INT, 0.16), 0), 1)", 6)} AS heuristic FROM p),
+  l AS (SELECT *, row_number() OVER (PARTITION BY ruc, fact ORDER BY heuristic DESC, code) AS listed FROM h),
+  g AS (SELECT *, start OR len(met) >= 2 AS family_strict, start OR len(met) >= 1 OR heuristic >= 0.55 AS family_soft, CASE WHEN fd <= 0.02 AND least(cd, td, wd) <= 0.08 THEN 0 WHEN least(cd, td, wd) <= 0.15 THEN 1 WHEN fd <= 0.10 THEN 2 ELSE 3 END AS tier,
+    {_up("least(greatest(0.20 + 0.22 * fsim + 0.20 * csim + 0.23 * tsim + 0.15 * wsim, 0), 1)", 6)} AS presentation FROM l WHERE listed <= 120),
+  s AS (SELECT *, sum(family_strict::INT) OVER w >= 5 AS many_strict, sum(family_soft::INT) OVER w >= 5 AS many_soft FROM g WINDOW w AS (PARTITION BY ruc, fact)),
+  t AS (SELECT *, family_soft AND {_NEAR("f", 0.02)} AND ({_NEAR("c", 0.08)} OR {_NEAR("t", 0.08)} OR {_NEAR("w", 0.08)}) AS presented_strict, family_soft AND ({_NEAR("f", 0.02)} OR tier <= 1) AS presented_soft,
+    {_up("(0.78 * heuristic + 0.22 * presentation) * (0.20 + 0.80 * least(greatest((heuristic - 0.12) / 0.35, 0), 1))", 6)} AS score FROM s WHERE CASE WHEN many_strict THEN family_strict WHEN many_soft THEN family_soft ELSE true END),
+  u AS (SELECT *, sum(presented_strict::INT) OVER w >= 3 AS p_strict, sum(presented_soft::INT) OVER w >= 3 AS p_soft FROM t WINDOW w AS (PARTITION BY ruc, fact)),
+  v AS (SELECT *, row_number() OVER (PARTITION BY ruc, fact ORDER BY family_strict DESC, family_soft DESC, tier, presented_strict DESC, score DESC, heuristic DESC, code) AS rank FROM u WHERE CASE WHEN p_strict THEN presented_strict WHEN p_soft THEN presented_soft ELSE true END)"""
+
 SQL = {
+    "candidate_retrieval": f"WITH {_RETRIEVAL} SELECT ruc, fact, code, rank, heuristic, presentation, tier, score, family_strict, family_soft, presented_strict, presented_soft FROM v WHERE rank <= 3",
     "prepared_master": f"WITH {DOMAIN} SELECT ruc, code, base, text AS model_text, unit, 'MASS' AS kind, factor, content, total, weight, weight * factor AS weight_total, {_LOG('total')} AS total_log, {_LOG('cost')} AS cost_log FROM m",
     "prepared_invoices": f"WITH {DOMAIN} SELECT ruc, code, base, text AS model_text, unit, 'MASS' AS kind, factor, content, total, weight, weight * factor AS weight_total, cost, {_LOG('cost')} AS cost_log FROM f",
     "support_scores": f"WITH {SCORED} SELECT ruc, fact, code, lexical, structure, support, retrieval, retrieved FROM v WHERE retrieved <= 5",

@@ -38,10 +38,10 @@ ORACLE_SQL = {
         y AS (SELECT *, {_quantity("q")} AS quantity FROM x) SELECT l_orderkey, l_linenumber, level, quantity, {_quantity("(quantity * p_size)")} AS units FROM y""",
     "exact_code_match": f"""WITH i AS (SELECT ruc, unnest([code::VARCHAR, '0' || code]) AS code, arg_max(p_name, (cost, p_name)) AS name FROM ({_MASTER}) GROUP BY ruc, code),
         x AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_suppkey WHEN l_suppkey % 2 = 0 THEN l_suppkey + 1 ELSE l_suppkey - 1 END AS ruc, repeat('0', l_linenumber % 3) || l_partkey AS code FROM lineitem),
-        y AS (SELECT *, CASE WHEN ltrim(code, '0') = '' THEN '0' ELSE ltrim(code, '0') END AS bare, CASE WHEN ruc % 2 = 0 THEN ruc + 1 ELSE ruc - 1 END AS other FROM x),
-        z AS (SELECT y.*, a.name AS n0, b.name AS n1, c.name AS n2, d.name AS n3 FROM y LEFT JOIN i a ON a.ruc = y.ruc AND a.code = y.code LEFT JOIN i b ON b.ruc = y.ruc AND b.code = bare LEFT JOIN i c ON c.ruc = other AND c.code = y.code LEFT JOIN i d ON d.ruc = other AND d.code = bare)
-        SELECT l_orderkey, l_linenumber, l_suppkey, ruc, code, coalesce(n0, n1, n2, n3) AS matched, CASE WHEN coalesce(n0, n1) IS NOT NULL THEN 'exact' WHEN coalesce(n2, n3) IS NOT NULL THEN 'exact_equivalent' ELSE 'none' END AS kind,
-        (coalesce(n0, n1, n2, n3) IS NOT NULL)::INT::DOUBLE AS score FROM z""",
+        y AS (SELECT *, ltrim(code, '0') AS bare, CASE WHEN ruc % 2 = 0 THEN ruc + 1 ELSE ruc - 1 END AS other FROM x),
+        z AS (SELECT y.*, a.name AS n0, b.name AS n1 FROM y LEFT JOIN i a ON a.ruc = y.ruc AND a.code = y.code LEFT JOIN i b ON b.ruc = other AND b.code = bare)
+        SELECT l_orderkey, l_linenumber, l_suppkey, ruc, code, coalesce(n0, n1) AS matched, CASE WHEN n0 IS NOT NULL THEN 'exact' WHEN n1 IS NOT NULL THEN 'exact_equivalent' ELSE 'none' END AS kind,
+        (coalesce(n0, n1) IS NOT NULL)::INT::DOUBLE AS score FROM z""",
     "alias_match": """WITH a AS (SELECT l_suppkey AS ruc, l_partkey AS code, l_orderkey % 3 AS t FROM lineitem), s AS (SELECT ruc, code, min(t) AS t FROM a GROUP BY ALL HAVING count(DISTINCT t) = 1),
         o AS (SELECT code, min(t) AS only_one FROM s GROUP BY ALL HAVING count(DISTINCT t) = 1)
         SELECT ruc, code, coalesce(t, only_one) AS master, CASE WHEN t IS NOT NULL THEN 'own' WHEN only_one IS NOT NULL THEN 'global' ELSE 'none' END AS source

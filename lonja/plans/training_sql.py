@@ -37,7 +37,12 @@ SQL = {
     "sample_weights": f"""WITH {_PAIR}, n AS (SELECT greatest(sum((code = truth)::INT), 1) AS pos, greatest(sum((code <> truth)::INT), 1) AS neg FROM p),
         q AS (SELECT *, 0.18 * exp(-1.2 * cgap) + 0.18 * exp(-2.0 * fgap) + 0.16 * exp(-2.0 * ngap) + 0.26 * exp(-2.2 * tgap) + 0.12 * exp(-4.0 * wrel) + 0.10 AS hard, 0.30 * (fgap > 0.10)::INT + 0.20 * (ngap > 0.12)::INT + 0.30 * (tgap > 0.12)::INT AS conflict, CASE WHEN same THEN 1.6 ELSE 1.0 END AS more FROM p)
         SELECT ruc, fact, code, (code = truth)::INT AS label, {_up("least(greatest(CASE WHEN code = truth THEN neg / pos ELSE 1.0 + 2.4 * hard * more + 1.6 * conflict * more END, 1.0), 6.0)", 6)} AS weight FROM q, n""",
-    "pair_features": f"""WITH {_PAIR} SELECT ruc, fact, code, u::DOUBLE AS unit_equal, 1.0 AS kind_equal_known, {_up("exp(-fgap)", 6)} AS factor_sim, {_up("exp(-ngap)", 6)} AS content_sim, {_up("exp(-tgap)", 6)} AS total_sim, {_up("exp(-wgap)", 6)} AS weight_sim, {_up("exp(-cgap)", 6)} AS cost_sim FROM p""",
+    "pair_features": f"""WITH {DOMAIN}, k AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS brand FROM part), b AS (SELECT base, list(brand) AS brands, first(brand ORDER BY length(brand) DESC, brand) AS brand
+          FROM (SELECT DISTINCT base, unnest(string_split(base, ' ')) AS w FROM (SELECT base FROM f UNION SELECT base FROM m)) JOIN k ON k.brand = w GROUP BY base),
+        p AS (SELECT a.ruc, a.code AS fact, b.code AS code, x.brand AS xb, y.brand AS yb, coalesce(x.brands, []) AS xs, coalesce(y.brands, []) AS ys, a.unit = b.unit AS u, {", ".join(f"least(1 + a.{c}, 1 + b.{c}) / greatest(1 + a.{c}, 1 + b.{c}) AS {c}_q" for c in ("factor", "content", "total", "cost"))}, exp(-abs(a.weight - b.weight)) AS wq
+          FROM f a JOIN m b USING (ruc) LEFT JOIN b x ON x.base = a.base LEFT JOIN b y ON y.base = b.base)
+        SELECT ruc, fact, code, (xb IS NOT NULL AND yb IS NOT NULL AND xb = yb)::INT::DOUBLE AS same_brand, (xb IS NOT NULL AND yb IS NOT NULL AND xb <> yb)::INT::DOUBLE AS brand_conflict, {_up(_jaccard("xs", "ys"), 6)} AS brand_overlap, u::INT::DOUBLE AS unit_equal, 1.0 AS kind_equal_known,
+        {", ".join(f"{_up(f'{c}_q', 6)} AS {c}_sim" for c in ("factor", "content", "total", "cost"))}, {_up("wq", 6)} AS weight_sim FROM p""",
     "category_lexicon": f'WITH {_LEXICON} SELECT category, term, n, precision, score, rank, "of" FROM lex',
     "lexicon_classify": f"""WITH {_LEXICON}, g AS (SELECT "of", id, unnest(list_distinct(terms)) AS term FROM rows_), h AS (SELECT g."of", id, lex.category, count(*) AS hits, max(len(string_split(term, ' '))) AS longest FROM g JOIN lex USING ("of", term) GROUP BY ALL),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "of", id ORDER BY hits DESC, longest DESC, category) AS rn FROM h) WHERE rn = 1) SELECT r."of", r.id, b.category, hits, longest FROM rows_ r LEFT JOIN b ON b."of" = r."of" AND b.id = r.id""",
