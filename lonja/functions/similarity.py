@@ -57,8 +57,8 @@ def first_positive(*values: Column) -> Column:
 
 
 def round_quantity(x: Column) -> Column:
-    """0 if not positive; the whole number within a thousandth; else six places."""
-    return F.when(x.isNull() | (x <= 0), 0.0).when(F.abs(x - F.rint(x)) <= 1e-3, F.rint(x)).otherwise(F.bround(x, 6))
+    """0 if not positive; the whole number within a thousandth; else six places, by plain double arithmetic as other engines do it."""
+    return F.when(x.isNull() | (x <= 0), 0.0).when(F.abs(x - F.rint(x)) <= 1e-3, F.rint(x)).otherwise(F.floor(x * 1e6 + 0.5) / 1e6)
 
 
 def units_per_sale(sale: Column, case: Column, most: int = 1000) -> Column:

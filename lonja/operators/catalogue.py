@@ -97,15 +97,21 @@ def conversion_lookup_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantity_inference(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: learn conversions, match lines to the catalogue by code, and infer the quantity bought."""
+    """Flagship: learn conversions, match lines to the catalogue by code, and infer the quantity bought, the units in it, and
+    their content and weight; says what the quantity came from."""
     lines = conversions(spark, d)
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("ruc"), F.col("l_partkey").alias("code"), F.col("l_returnflag").alias("unit_buy"), F.col("l_linestatus").alias("unit_bill"), "l_extendedprice")
     found = with_conversion(line, mode_dictionary(lines, CONVERSION_KEY))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("box_cost"), "p_size")
     found = found.join(part, ["code"], "left")
     by_factor = F.when(F.col("conversion") > 0, F.col("l_linenumber") * F.col("conversion"))
-    quantity = sim.round_quantity(F.coalesce(by_factor, F.when(F.col("box_cost") > 0, F.col("l_extendedprice") / F.col("box_cost"))))
-    return found.select("l_orderkey", "l_linenumber", "level", quantity.alias("quantity"), sim.round_quantity(quantity * F.col("p_size")).alias("units"))
+    by_value = F.when(F.col("box_cost") > 0, F.col("l_extendedprice") / F.col("box_cost"))
+    origin = F.when(by_factor > 0, "conversion").when(by_value > 0, "value").otherwise("")
+    found = found.withColumns({"quantity": sim.round_quantity(F.coalesce(by_factor, by_value)), "origin": origin, "grams": (F.pmod("code", F.lit(20)) + 1) * 50})
+    found = found.withColumn("units", sim.round_quantity(F.col("quantity") * F.col("p_size")))
+    content = sim.round_quantity(F.col("units") * F.col("grams"))
+    weight = sim.round_quantity(F.col("units") * (F.col("grams") / 1000))
+    return found.select("l_orderkey", "l_linenumber", "level", "quantity", "units", content.alias("content_total"), weight.alias("weight_total"), "origin")
 
 
 def exact_matches(lines: DataFrame, master: DataFrame, equivalents: DataFrame) -> DataFrame:

@@ -182,14 +182,14 @@ def with_heuristics(pairs: DataFrame, keys: list[str] | None = None, sequence: b
     return pairs.withColumn("heuristic", half_up(clip(text), 6))
 
 
-def retrieved(pairs: DataFrame, top_n: int = 30, keys: list[str] | None = None, sequence: bool = True) -> DataFrame:
+def retrieved(pairs: DataFrame, top_n: int = 30, keys: list[str] | None = None, sequence: bool = True, last: tuple[str, ...] | list[str] = ("m_code",)) -> DataFrame:
     """The top_n candidates of each invoice row, by a shortlist, a family gate, a presentation gate and six sort keys.
 
     A gate is only closed where enough candidates are left behind it: of the strict family, else of the soft
     one, else all; then the same by presentation.
     """
     by = ["ruc", "f_code"]
-    out = ranked(with_heuristics(pairs, keys, sequence), by, [F.desc("heuristic"), F.col("m_code")], max(12 * top_n, 120), "listed")
+    out = ranked(with_heuristics(pairs, keys, sequence), by, [F.desc("heuristic"), *last], max(12 * top_n, 120), "listed")
     both = F.array_intersect("f_family", "m_family")
     start = lambda n: (F.size("f_family") >= n) & (F.size("m_family") >= n) & (F.slice("f_family", 1, n) == F.slice("m_family", 1, n))
     differ = lambda c: sim.relative_difference(_f(c), _m(c))
@@ -212,14 +212,14 @@ def retrieved(pairs: DataFrame, top_n: int = 30, keys: list[str] | None = None,
     })
     out = out.withColumns({"by_strict": enough("presented_strict", top_n), "by_soft": enough("presented_soft", top_n)})
     out = out.filter(F.when(F.col("by_strict"), F.col("presented_strict")).when(F.col("by_soft"), F.col("presented_soft")).otherwise(True))
-    order = [F.desc("family_strict"), F.desc("family_soft"), F.col("tier"), F.desc("presented_strict"), F.desc("score"), F.desc("heuristic"), F.col("m_code")]
+    order = [F.desc("family_strict"), F.desc("family_soft"), F.col("tier"), F.desc("presented_strict"), F.desc("score"), F.desc("heuristic"), *last]
     return ranked(out, by, order, top_n)
 
 
 def sides_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Invoice rows and catalogue rows as sides of pairs, prepared once for all queries of a session."""
     sources = [f"{d}/lineitem.parquet", f"{d}/part.parquet"]
-    facts = kept(spark, "facts-side", sources, lambda: side(domain.prepare_invoices(domain.invoices(spark, d)), "f", "truth"))
+    facts = kept(spark, "facts-side", sources, lambda: side(domain.prepare_invoices(domain.invoices(spark, d)), "f", "truth", "ValorTotal", "Cantidad"))
     return facts, kept(spark, "master-side", sources, lambda: side(domain.prepare_master(domain.catalogue(spark, d)), "m"))
 
 

@@ -11,7 +11,7 @@ l3 AS (SELECT code, unit_buy, unit_bill, arg_max(factor, {_ORDER}) AS f3 FROM di
 l4 AS (SELECT code, arg_max(factor, {_ORDER}) AS f4 FROM dict GROUP BY ALL)"""
 _FIND = "LEFT JOIN l1 USING (ruc, code, unit_buy, unit_bill) LEFT JOIN l2 USING (ruc, code) LEFT JOIN l3 USING (code, unit_buy, unit_bill) LEFT JOIN l4 USING (code)"
 _LEVEL = "CASE WHEN f1 IS NOT NULL THEN 'exact' WHEN f2 IS NOT NULL THEN 'supplier_product' WHEN f3 IS NOT NULL THEN 'global_units' WHEN f4 IS NOT NULL THEN 'global_product' END AS level"
-_quantity = lambda x: f"CASE WHEN {x} IS NULL OR {x} <= 0 THEN 0 WHEN abs({x} - round_even({x}, 0)) <= 1e-3 THEN round_even({x}, 0) ELSE round_even({x}, 6) END"
+_quantity = lambda x: f"CASE WHEN {x} IS NULL OR {x} <= 0 THEN 0 WHEN abs({x} - round_even({x}, 0)) <= 1e-3 THEN round_even({x}, 0) ELSE floor({x} * 1e6 + 0.5) / 1e6 END"
 _jaccard = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
 _overlap = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b})) END"
 _rel = lambda a, b: f"CASE WHEN {a} > 0 AND {b} > 0 THEN abs({a} - {b}) / greatest({a}, {b}) ELSE 1.0 END"
@@ -32,10 +32,11 @@ ORACLE_SQL = {
         ON a.l_orderkey || '-' || right('000' || a.l_linenumber, 3) = b.l_orderkey || '-' || right('000' || b.n, 3) AND abs(a.l_extendedprice - b.l_extendedprice) < 1 GROUP BY ALL""",
     "conversion_dictionary": f"WITH {_DICT} SELECT * FROM dict",
     "conversion_lookup_cascade": f"WITH {_DICT}, {_LEVELS} SELECT ruc, code, unit_buy, unit_bill, coalesce(f1, f2, f3, f4) AS conversion, {_LEVEL} FROM (SELECT DISTINCT ruc, code, unit_buy, unit_bill FROM facts WHERE factor > 0) {_FIND}",
-    "quantity_inference": f"""WITH {_DICT}, {_LEVELS}, x AS (SELECT l_orderkey, l_linenumber, {_LEVEL}, p_size,
+    "quantity_inference": f"""WITH {_DICT}, {_LEVELS}, x AS (SELECT l_orderkey, l_linenumber, {_LEVEL}, p_size, (50 * (1 + code % 20)) AS grams, CASE WHEN l_linenumber * coalesce(f1, f2, f3, f4) > 0 THEN 'conversion' WHEN p_retailprice > 0 AND l_extendedprice / p_retailprice > 0 THEN 'value' ELSE '' END AS origin,
         coalesce(CASE WHEN coalesce(f1, f2, f3, f4) > 0 THEN l_linenumber * coalesce(f1, f2, f3, f4) END, CASE WHEN p_retailprice > 0 THEN l_extendedprice / p_retailprice END) AS q
         FROM (SELECT *, l_suppkey AS ruc, l_partkey AS code, l_returnflag AS unit_buy, l_linestatus AS unit_bill FROM lineitem) {_FIND} LEFT JOIN part ON code = p_partkey),
-        y AS (SELECT *, {_quantity("q")} AS quantity FROM x) SELECT l_orderkey, l_linenumber, level, quantity, {_quantity("(quantity * p_size)")} AS units FROM y""",
+        y AS (SELECT *, {_quantity("q")} AS quantity FROM x), z AS (SELECT *, {_quantity("(quantity * p_size)")} AS units FROM y)
+        SELECT l_orderkey, l_linenumber, level, quantity, units, {_quantity("(units * grams)")} AS content_total, {_quantity("(units * (grams / 1000))")} AS weight_total, origin FROM z""",
     "exact_code_match": f"""WITH i AS (SELECT ruc, unnest([code::VARCHAR, '0' || code]) AS code, arg_max(p_name, (cost, p_name)) AS name FROM ({_MASTER}) GROUP BY ruc, code),
         x AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_suppkey WHEN l_suppkey % 2 = 0 THEN l_suppkey + 1 ELSE l_suppkey - 1 END AS ruc, repeat('0', l_linenumber % 3) || l_partkey AS code FROM lineitem),
         y AS (SELECT *, ltrim(code, '0') AS bare, CASE WHEN ruc % 2 = 0 THEN ruc + 1 ELSE ruc - 1 END AS other FROM x),
