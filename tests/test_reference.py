@@ -6,17 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja.functions import parsing, similarity, text
-from lonja.operators import branch, catalogue, matching, resolvers, training
+from lonja.operators import blocking, branch, catalogue, lines, matching, resolvers, training, vocabularies
 from lonja.operators.catalogue import mode_dictionary
-from lonja.plans import matching_sql, training_sql
+from lonja.plans import lines_sql, matching_sql, training_sql, vocabulary_sql
 from lonja.plans.oracle import ORACLE_SQL
 from lonja.sources import tables
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalogue.QUERIES | branch.QUERIES | matching.QUERIES | training.QUERIES | resolvers.QUERIES
-SQL = ORACLE_SQL | branch.SQL | matching_sql.SQL | training_sql.SQL | resolvers.SQL
+QUERIES = catalogue.QUERIES | branch.QUERIES | matching.QUERIES | training.QUERIES | resolvers.QUERIES | lines.QUERIES | blocking.QUERIES | vocabularies.QUERIES
+SQL = ORACLE_SQL | branch.SQL | matching_sql.SQL | training_sql.SQL | resolvers.SQL | lines_sql.SQL | blocking.SQL | vocabulary_sql.SQL
 #: What other queries here contain as a step.
-STEPS = ("support_scores", "final_scores", "prepared_master", "prepared_invoices", "pair_features")
+STEPS = ("support_scores", "final_scores", "prepared_master", "prepared_invoices", "hybrid_candidates")
 
 
 TEXTS = {
