@@ -46,8 +46,6 @@ SQL = {
     "category_lexicon": f'WITH {_LEXICON} SELECT category, term, n, precision, score, rank, "of" FROM lex',
     "lexicon_classify": f"""WITH {_LEXICON}, g AS (SELECT "of", id, unnest(list_distinct(terms)) AS term FROM rows_), h AS (SELECT g."of", id, lex.category, count(*) AS hits, max(len(string_split(term, ' '))) AS longest FROM g JOIN lex USING ("of", term) GROUP BY ALL),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "of", id ORDER BY hits DESC, longest DESC, category) AS rn FROM h) WHERE rn = 1) SELECT r."of", r.id, b.category, hits, longest FROM rows_ r LEFT JOIN b ON b."of" = r."of" AND b.id = r.id""",
-    "score_metrics": """WITH s AS (SELECT l_discount AS p, count(*) AS n, sum((l_returnflag = 'R')::INT) AS h FROM lineitem GROUP BY 1), c AS (SELECT *, sum(n) OVER w AS ch, sum(h) OVER w AS r, sum(h) OVER () AS pos, sum(n) OVER () AS a FROM s WINDOW w AS (ORDER BY p DESC))
-        SELECT max(a)::BIGINT AS n, round(max(pos) / max(a), 6) AS positive_rate, round(sum(h * r / ch) / max(pos), 6) AS pr_auc, round(sum(h * ((a - pos) - (ch - r) + (n - h) / 2)) / (max(pos) * (max(a) - max(pos))), 6) AS roc_auc FROM c""",
     "classification_metrics": """WITH e AS (SELECT label AS t, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         c AS (SELECT c, (SELECT count(*) FROM e WHERE t = c AND p = c) AS tp, (SELECT count(*) FROM e WHERE t = c) AS t, (SELECT count(*) FROM e WHERE p = c) AS p FROM (SELECT DISTINCT t AS c FROM e UNION SELECT DISTINCT p FROM e)),
         r AS (SELECT CASE WHEN p_size > 0 THEN p_retailprice END AS t, avg(p_retailprice) OVER (PARTITION BY p_type) AS p FROM part)
