@@ -48,3 +48,8 @@ SQL = {
   w4 AS (SELECT *, {_quantity("(CASE WHEN factor > 0 THEN quantity * factor END)")} AS units FROM w3)
   SELECT ruc, fact, m_ruc, code, kind, score, rank, quantity, units, {_quantity("(CASE WHEN content > 0 THEN units * content END)")} AS content_total, {_quantity("(CASE WHEN weight > 0 THEN units * weight END)")} AS weight_total, origin FROM w4""",
 }
+SQL |= {
+    "vector_mining": f"""WITH {DOMAIN}, lines AS (SELECT * FROM f), rows_ AS (SELECT * FROM m), {_VECTORS}, p AS (SELECT a.ruc, a.code AS fact, b.code AS negative, {_up("dot / 65536", 6)} AS similarity FROM f a JOIN m b USING (ruc) JOIN dots ON fb = a.base AND mb = b.base WHERE b.code <> a.truth)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ruc, fact ORDER BY similarity DESC, negative) AS rank FROM p) WHERE rank <= 2""",
+    "facts_from_pairs": f"WITH {DOMAIN} SELECT ruc, code AS fact, base, unit, {_up('cost', 6)} AS cost, factor, content, total FROM f WHERE EXISTS (SELECT 1 FROM m WHERE m.ruc = f.ruc AND m.code = f.truth)",
+}
