@@ -164,23 +164,24 @@ SUFFIX = "prefix binary, row long, place int, content long, wanted boolean"
 
 def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The first DEPTH tokens from each place of a page's stream; a stream is cut where the article stands."""
+    width = 4 * DEPTH
     for pdf in batches:
-        out = []
+        prefixes, found = [], []
         for row, host, marks, rest, content in zip(pdf["row"], pdf["host"], pdf["marks"], pdf["rest"], pdf["content"]):
-            marks, texts, wanted = bytes(marks), iter(rest), OPEN in bytes(marks)
+            marks, texts = bytes(marks), iter(rest)
             seed, stretch, at = xxhash.xxh32_intdigest(host), [], 0
             for m in [*marks, ARTICLE]:
                 if m != ARTICLE:
-                    stretch += [xxhash.xxh32_intdigest(w, seed) for w in next(texts).split()]
-                    continue
-                n = len(stretch) - DEPTH + 1
-                if n > 0:
-                    windows = np.lib.stride_tricks.sliding_window_view(np.array(stretch, ">u4"), DEPTH).tobytes()
-                    prefixes = [windows[i : i + 4 * DEPTH] for i in range(0, len(windows), 4 * DEPTH)]
-                    out.append(pd.DataFrame({"prefix": prefixes, "row": row, "place": np.arange(at, at + n, dtype=np.int32), "content": content, "wanted": wanted}))
-                at, stretch = at + len(stretch), []
-        if out:
-            yield pd.concat(out)
+                    stretch += [xxhash.xxh32_digest(w, seed) for w in next(texts).split()]
+                elif stretch:
+                    joined, n = b"".join(stretch), len(stretch) - DEPTH + 1
+                    prefixes += [joined[i : i + width] for i in range(0, 4 * n, 4)]
+                    found.append((row, content, OPEN in marks, at, max(n, 0)))
+                    at, stretch = at + len(stretch), []
+        if prefixes:
+            row, content, wanted, at, n = (np.array(c) for c in zip(*found))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+            yield pd.DataFrame({"prefix": prefixes, "row": np.repeat(row, n), "place": place.astype(np.int32), "content": np.repeat(content, n), "wanted": np.repeat(wanted, n)})
 
 
 COVERED, PENDING, ENDING = 0, 1, 2
