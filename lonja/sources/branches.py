@@ -6,11 +6,11 @@ import json
 import re
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.sources import store
 from lonja.sources.tables import clean_names, delimited, tenant_id
 
 FOLDERS = ("data/raw", "data/processed", "data/results", "artifacts")
@@ -43,22 +43,22 @@ class Queries:
     def run(self, spark: SparkSession, branch: str, name: str, sf_dir: str, env: Mapping[str, str]) -> DataFrame:
         """A branch's query; SQL in the file that SQL_<BRANCH>_<NAME>_QUERY_FILE names replaces the one built in."""
         if path := env.get(f"SQL_{tenant_id(branch)}_{name.upper()}_QUERY_FILE"):
-            return spark.sql(Path(path).read_text(encoding="utf-8"))
+            return spark.sql(store.read_text(path))
         return self.of(branch)[name](spark, sf_dir)
 
 
 def folders(root: str, branch: str | None, create: bool = False) -> dict[str, str]:
     """A branch's folders under root; the default branch has root itself."""
     own = tenant_id(branch)
-    out = {f: str(Path(root) / f / ("" if own == "default" else own)) for f in FOLDERS}
+    out = {f: store.joined(root, f, "" if own == "default" else own) for f in FOLDERS}
     for path in out.values() if create else ():
-        Path(path).mkdir(parents=True, exist_ok=True)
+        store.make_folder(path)
     return out
 
 
 def known_branches(root: str) -> list[str]:
     """The default branch, then every branch that has a folder of raw data or artefacts."""
-    found = {p.name for f in ("data/raw", "artifacts") for p in (Path(root) / f).glob("*") if p.is_dir() and tenant_id(p.name) == p.name}
+    found = {name for f in ("data/raw", "artifacts") for name in store.folders_in(store.joined(root, f)) if tenant_id(name) == name}
     return ["default", *sorted(found - {"default"})]
 
 
@@ -115,11 +115,11 @@ def save_lexicon(words: DataFrame, path: str) -> None:
     best: dict[str, list[str]] = {}
     for r in words.orderBy("category", "rank").collect():
         best.setdefault(r.category, []).append(r.term)
-    Path(path).write_text(json.dumps(best, ensure_ascii=False, sort_keys=True), encoding="utf-8")
+    store.write_text(path, json.dumps(best, ensure_ascii=False, sort_keys=True))
 
 
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    best = json.loads(Path(path).read_text(encoding="utf-8"))
+    best = json.loads(store.read_text(path))
     return spark.createDataFrame([(c, t, i + 1) for c, terms in best.items() for i, t in enumerate(terms)], "category string, term string, rank int")
 
 

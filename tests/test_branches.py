@@ -103,3 +103,40 @@ def test_models(spark, tmp_path):
     net = lifecycle.fit_attribute(rows.withColumn("c", F.log1p("c")), ["c"], "t")
     off = lifecycle.predict_attribute(net, rows.withColumn("c", F.log1p("c")), "told").select(F.max(F.abs(F.col("told") - F.expm1("c")))).first()[0]
     assert off < 0.1
+
+
+def test_lock_of_another_machine_stays(tmp_path):
+    """A process id of another host may be anything here: its lock is never taken over, one of this host's dead process is."""
+    import json
+    import socket
+
+    path = str(tmp_path / "lock")
+    open(path, "w").write("999999999")
+    for host, stays in (("another", True), (socket.gethostname(), False)):
+        open(f"{path}.owner", "w").write(json.dumps({"host": host, "since": "2024"}))
+        if stays:
+            with pytest.raises(RuntimeError, match="another since 2024"), lifecycle.training_lock(path):
+                pass
+            assert os.path.exists(path) and open(path).read() == "999999999"
+        else:
+            with lifecycle.training_lock(path):
+                assert json.load(open(f"{path}.owner"))["pid"] == os.getpid()
+    assert os.listdir(tmp_path) == []
+
+
+def test_stores_keep_their_scheme(spark, tmp_path):
+    """Roots with a scheme are joined as they are, and everything goes through Spark's file systems."""
+    assert branches.folders("s3a://bucket/x", "los portales")["data/raw"] == "s3a://bucket/x/data/raw/LOS_PORTALES"
+    root = f"file:{tmp_path}"
+    made = branches.folders(root, "lima", create=True)
+    assert made["artifacts"] == f"{root}/artifacts/LIMA" and (tmp_path / "artifacts" / "LIMA").is_dir()
+    assert branches.known_branches(root) == ["default", "LIMA"] and branches.known_branches(f"{root}/none") == ["default"]
+    rows = spark.range(40).select((F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("label"))
+    model = lifecycle.fit_ranker(rows, ["a"])
+    for run in ("r1", "r2"):
+        lifecycle.settle(model, {"run": run}, {"promoted": True}, made["artifacts"], run)
+    kept, report = lifecycle.current(made["artifacts"])
+    assert report == {"run": "r2"} and lifecycle.predict_pairs(kept, rows).count() == 40 and (tmp_path / "artifacts/LIMA/archive/before-r2/report.json").exists()
+    words = spark.createDataFrame([("a", "ñ", 1)], "category string, term string, rank int")
+    branches.save_lexicon(words, f"{root}/l.json")
+    assert [tuple(r) for r in branches.load_lexicon(spark, f"{root}/l.json").collect()] == [("a", "ñ", 1)]
