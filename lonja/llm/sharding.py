@@ -102,9 +102,17 @@ def _append(spark: SparkSession, path: str, version: int, moved: dict[int, int])
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records with their shard and place, and the versions of the map stored at path (a new one in the shared folder, if none is named)."""
+    """Records with their shard and place, and the versions of the map stored at path (a new one in the shared folder, if none is named).
+
+    A stored map keeps the number of slots it was made with, whatever `slots` says; one that lacks slots is an error.
+    """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    version, held = _stored(spark, path)
+    if version >= 0:
+        slots = len(held)
+        if set(held) != set(range(slots)):
+            raise ValueError(f"the slot map at {path} is not whole")
     crc = F.crc32(whole().cast("binary"))
     rows = written(
         docs.select("doc_id", (F.octet_length(whole()).cast("long") + 16).alias("size"), crc.alias("text_crc32")).withColumn(
@@ -115,7 +123,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     sizes, counts = [0] * slots, [0] * slots
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # one row a slot
         sizes[r.virtual_slot], counts[r.virtual_slot] = r.b, r.n
-    version, held = _stored(spark, path)
     if version < 0:
         version, held = 0, dict(enumerate(first_map(slots, shards)))
         _append(spark, path, version, held)

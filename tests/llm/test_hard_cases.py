@@ -236,3 +236,24 @@ def test_labels_that_no_word_explains_reject_nothing(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
     assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0} and toxicity.keep_clean(docs, model).count() == 60
+
+
+def test_a_stored_map_keeps_its_number_of_slots(spark, tmp_path):
+    """Runs that ask for more or fewer slots than the stored map has go by the map; a map with a gap is refused."""
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    first = {r.doc_id: (r.virtual_slot, r.shard) for r in sharding.shard(docs, 4, 64, path)[0].collect()}
+    for slots in (128, 16):
+        assert {r.doc_id: (r.virtual_slot, r.shard) for r in sharding.shard(docs, 4, slots, path)[0].collect()} == first
+    broken = str(tmp_path / "broken")
+    spark.createDataFrame([(0, 0, 0), (0, 2, 1)], sharding.MAP).write.parquet(broken)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 4, 64, broken)
+
+
+def test_texts_of_some_ids_are_whole_whatever_the_hashes(spark, monkeypatch):
+    """Hashes that collide let texts through to the join, which drops them; none is lost."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 3)
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(200)] + [(5, "again"), (None, "nobody")], "doc_id long, text string")
+    ids = spark.createDataFrame([(5,), (17,), (999,), (None,)], "doc_id long")
+    assert sorted(r.text for r in toxicity.of_ids(texts, ids).collect()) == ["again", "t17", "t5"]
