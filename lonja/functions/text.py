@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,16 +75,29 @@ def label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(no_accents(or_empty(c))), r"[^A-Z0-9]+", " "))
 
 
+#: Names of characters: those of HTML 4, that end in a semicolon, and the older ones that do without. The two thousand of HTML 5
+#: would make every plan with a lexed text too large.
+_SIGNS = {name: chr(point) for name, point in name2codepoint.items() if chr(point) != "&"}
+_BARE = {name: sign for name, sign in html5.items() if not name.endswith(";") and sign != "&"}
+
+
 def unescaped(c: Column) -> Column:
-    """Named and numbered HTML entities as the characters they stand for; unknown names stay."""
-    names = fixed_map({name: chr(point) for name, point in name2codepoint.items()})
-    point = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 8), 16, 10)).otherwise(F.substring(e, 2, 8)).try_cast("int")
-    sign = lambda e: F.when(e.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(point(e)), 8, "0")), "UTF-32")).otherwise(F.element_at(names, e))
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    """Named and numbered HTML entities as the characters they stand for, as browsers read them: numbers and older names do
+    without a semicolon, and of a name that is unknown the longest older one at its start counts. Other names stay."""
+    digits = lambda e: F.rtrim(F.substring(e, 2, 9), F.lit(";"))
+    point = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.rtrim(F.substring(e, 3, 8), F.lit(";")), 16, 10)).otherwise(digits(e)).try_cast("int")
+    number = lambda e: F.decode(F.unhex(F.lpad(F.hex(point(e)), 8, "0")), "UTF-32")
+    sign = lambda e: F.when(e.startswith("#"), number(e)).otherwise(F.element_at(fixed_map(_SIGNS), F.rtrim(e, F.lit(";"))))
+    longest = lambda pattern, text: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda x, y: F.length(y) - F.length(x))
+
+    def replaced(text: Column, pattern: str, of) -> Column:
+        """The longest first, so that none is taken for the start of another."""
+        return F.aggregate(longest(pattern, text), text, lambda t, e: F.replace(t, F.concat(F.lit("&"), e), F.coalesce(of(e), F.concat(F.lit("&"), e))))
+
+    done = replaced(c, r"&(#(?!38\b)\d{1,7};?|#[xX](?!26\b)[0-9a-fA-F]{1,6};?|(?!(?:amp|AMP);)[A-Za-z][A-Za-z0-9]*;)", sign)
+    bare = F.when(done.contains("&"), replaced(done, f"&({'|'.join(sorted(_BARE, key=len, reverse=True))})", lambda e: F.element_at(fixed_map(_BARE), e))).otherwise(done)
     # The ampersand last, so that what it sets free is not read again.
-    found = F.concat(F.filter(found, lambda e: e != "amp"), F.filter(found, lambda e: e == "amp"))
-    done = F.aggregate(found, c, lambda text, e: F.replace(text, F.concat(F.lit("&"), e, F.lit(";")), F.coalesce(sign(e), F.concat(F.lit("&"), e, F.lit(";")))))
-    return F.when(c.contains("&"), done).otherwise(c)
+    return F.when(c.contains("&"), F.regexp_replace(bare, r"&(?:amp|AMP|#38\b|#[xX]26\b);?", "&")).otherwise(c)
 
 
 _GLUED = "|".join(["CJA", "CJ", "CAJ", "CAJA", "UND", "UNID", "UNIDADES", "UN", "U", "IT", "PQT", "PAQ", "PAQT", "PACK", "PCK", "PK", "BOL", "BLS", "BOT", "BTL", "BDJ", "BAN", "DP", "DISPLAY", "DISPLEY", "SOB", "SACHET", "SACH", "ROL", "TIRA"])
