@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import similarity as sim
-from lonja.functions.text import char_grams, code, tokens
+from lonja.functions.text import char_grams, code
 from lonja.sources.staging import staged
 from lonja.sources.tables import table
 
@@ -47,13 +47,14 @@ def invoice_semi_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composite_key_match(spark: SparkSession, d: str) -> DataFrame:
-    """Lines numbered within their order, matched on a composite text key with a band on the amount; one per order and part."""
+    """Lines numbered within their order, matched on order and the item's last three figures with a band on the amount; one
+    per order and part. The parts of the key are compared on their own, so that the numbering's partitioning serves the join."""
     line = table(spark, d, "lineitem")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    key = lambda n: F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.right(F.concat(F.lit("000"), n.cast("string")), F.lit(3)))
-    a = line.select(key(F.col("l_linenumber")).alias("k"), F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), F.col("l_extendedprice").alias("amount"))
-    b = line.withColumn("n", number).select(key(F.col("n")).alias("k"), F.col("l_extendedprice").alias("billed"), F.col("n").cast("long").alias("item"))
-    hit = a.join(b, "k").filter(F.abs(F.col("amount") - F.col("billed")) < 1)
+    last_three = lambda n: F.pmod(n, F.lit(1000)).cast("int").alias("last_three")
+    a = line.select(last_three(F.col("l_linenumber")), F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), F.col("l_extendedprice").alias("amount"))
+    b = line.withColumn("n", number).select(last_three(F.col("n")), F.col("l_orderkey").alias("order_key"), F.col("l_extendedprice").alias("billed"), F.col("n").cast("long").alias("item"))
+    hit = a.join(b, ["order_key", "last_three"]).filter(F.abs(F.col("amount") - F.col("billed")) < 1)
     return hit.groupBy("order_key", "part_key").agg(F.min("item").alias("item"))
 
 
@@ -158,17 +159,6 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.upper("p_name").alias("name"), "p_brand", "p_type").distinct()
 
 
-def token_jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The three most similar other names that share a word (an inverted index), within a brand and type."""
-    t = names(spark, d).withColumn("t", tokens(F.concat_ws(" ", "name", "p_brand")))
-    posts = t.select("p_brand", "p_type", "name", "t", F.explode("t").alias("token"))
-    hits = posts.alias("a").join(posts.alias("b"), ["p_brand", "p_type", "token"]).filter("a.name <> b.name")
-    pairs = hits.select("p_brand", "p_type", F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.col("a.t").alias("x"), F.col("b.t").alias("y")).dropDuplicates(["p_brand", "p_type", "name", "other"])
-    scored = pairs.withColumns({"jaccard": F.round(sim.jaccard(F.col("x"), F.col("y")), 6), "shared": F.round(sim.overlap(F.col("x"), F.col("y")), 6)})
-    top = Window.partitionBy("p_brand", "p_type", "name").orderBy(F.desc("jaccard"), "other")
-    return scored.withColumn("rank", F.row_number().over(top)).filter("rank <= 3").select("p_brand", "p_type", "name", "other", "jaccard", "shared", "rank")
-
-
 def char_ngram_similarity(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     a, b = char_grams(F.upper("p_name")), char_grams(F.upper("p_type"))
@@ -235,5 +225,5 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, token_jaccard_topk, char_ngram_similarity, presentation_tiers, embedding_topk, ranking_metrics, threshold_sweep, class_weights, group_split)
+    for f in (latest_cost_per_part, master_catalogue, invoice_semi_join, composite_key_match, conversion_dictionary, conversion_lookup_cascade, quantity_inference, exact_code_match, alias_match, char_ngram_similarity, presentation_tiers, embedding_topk, ranking_metrics, threshold_sweep, class_weights, group_split)
 }

@@ -47,9 +47,6 @@ ORACLE_SQL = {
         o AS (SELECT code, min(t) AS only_one FROM s GROUP BY ALL HAVING count(DISTINCT t) = 1)
         SELECT ruc, code, coalesce(t, only_one) AS master, CASE WHEN t IS NOT NULL THEN 'own' WHEN only_one IS NOT NULL THEN 'global' ELSE 'none' END AS source
         FROM (SELECT DISTINCT ruc, code FROM a) LEFT JOIN s USING (ruc, code) LEFT JOIN o USING (code)""",
-    "token_jaccard_topk": f"""WITH t AS (SELECT *, list_distinct(string_split(name || ' ' || p_brand, ' ')) AS t FROM (SELECT DISTINCT upper(p_name) AS name, p_brand, p_type FROM part)),
-        s AS (SELECT a.p_brand, a.p_type, a.name, b.name AS other, round({_jaccard("a.t", "b.t")}, 6) AS jaccard, round({_overlap("a.t", "b.t")}, 6) AS shared FROM t a JOIN t b USING (p_brand, p_type) WHERE a.name <> b.name AND list_has_any(a.t, b.t))
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, name ORDER BY jaccard DESC, other) AS rank FROM s) WHERE rank <= 3""",
     "char_ngram_similarity": f"SELECT p_partkey, round({_jaccard(_grams('upper(p_name)'), _grams('upper(p_type)'))}, 6) AS similarity, len({_grams('upper(p_name)')})::INT AS grams FROM part",
     "presentation_tiers": f"""WITH m AS (SELECT code, min(cost) AS cost, min(p_size)::DOUBLE AS size, min(p_type) AS kind FROM ({_MASTER}) GROUP BY code),
         x AS (SELECT *, l_extendedprice / l_quantity AS unit, l_returnflag = 'R' AS loose, l_returnflag = 'A' AND kind <> 'NONE' AS odd FROM lineitem JOIN m ON l_partkey = code),

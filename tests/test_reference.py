@@ -6,15 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja.functions import parsing, similarity, text
-from lonja.operators import attributes, blocking, branch, catalogue, examples, lines, matching, ordering, ranking, resolvers, training, vocabularies
+from lonja.operators import attributes, blocking, branch, catalogue, examples, lines, matching, ordering, programs, ranking, resolvers, training, vocabularies
 from lonja.operators.catalogue import mode_dictionary
 from lonja.plans import examples_sql, lines_sql, matching_sql, training_sql, vocabulary_sql
 from lonja.plans.oracle import ORACLE_SQL
 from lonja.sources import tables
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalogue.QUERIES | branch.QUERIES | matching.QUERIES | training.QUERIES | resolvers.QUERIES | lines.QUERIES | blocking.QUERIES | vocabularies.QUERIES | ordering.QUERIES | ranking.QUERIES | examples.QUERIES | attributes.QUERIES
-SQL = ORACLE_SQL | branch.SQL | matching_sql.SQL | training_sql.SQL | resolvers.SQL | lines_sql.SQL | blocking.SQL | vocabulary_sql.SQL | ordering.SQL | examples_sql.SQL
+QUERIES = catalogue.QUERIES | branch.QUERIES | matching.QUERIES | training.QUERIES | resolvers.QUERIES | lines.QUERIES | blocking.QUERIES | vocabularies.QUERIES | ordering.QUERIES | ranking.QUERIES | examples.QUERIES | attributes.QUERIES | programs.QUERIES
+SQL = ORACLE_SQL | branch.SQL | matching_sql.SQL | training_sql.SQL | resolvers.SQL | lines_sql.SQL | blocking.SQL | vocabulary_sql.SQL | ordering.SQL | examples_sql.SQL | programs.SQL
 #: What other queries here contain as a step.
 STEPS = ("support_scores", "final_scores", "prepared_master", "prepared_invoices", "hybrid_candidates")
 
