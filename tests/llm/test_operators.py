@@ -1,8 +1,10 @@
 """Each operator against brute force, on a table with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -260,6 +262,55 @@ def test_pii_spans_against_plain_patterns():
         assert [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in pii.base_spans(t)] == brute_pii(t), t
 
 
+def test_pii_proposals_against_all_pairs():
+    rng = random.Random(5)
+    bits = ["555-123-4567", "(555) 123 4567", "0049 30 123 456", "4111 1111 1111 1112", "4111111111111111", "+49 30 1234567", "a [at] b [dot] com", "a@b.de", "1.2.3.4", " ", "-", "x", "00"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        base, out = pii.base_spans(text), []
+        for kind, pattern in pii._WIDER:
+            for m in pattern.finditer(text):
+                if all(m.end() <= a or m.start() >= b for a, b, _ in [*base, *out]):
+                    out.append((m.start(), m.end(), pii.KINDS.index(kind)))
+        assert pii.candidates(text, base) == sorted(out), text
+    many = "555-123-4567 a@b.de " * 40_000
+    began = time.process_time()
+    assert len(pii.candidates(many, pii.base_spans(many))) == 40_000 and time.process_time() - began < 20
+
+
+def test_pii_estimates_against_plain_ones():
+    """Expectation-maximisation candidate by candidate, without counts of patterns; the classifier's loss is flat at its weights."""
+    rng = random.Random(9)
+    pattern = lambda good: "".join(rng.choices("+0-", (6, 3, 1) if good else (1, 3, 6))[0] for _ in pii.LABELERS)
+    rows = [rng.choice(["email", "phone"]) + pattern(rng.random() < 0.6) for _ in range(120)]
+    counted = sorted((p, rows.count(p)) for p in set(rows))
+    got = pii.aggregate(counted, rounds=15)
+    for kind in ("email", "phone"):
+        own = [r[len(kind) :] for r in rows if r.startswith(kind)]
+        chance = [min(0.95, max(0.05, 0.5 + 0.15 * (v.count("+") - v.count("-")))) for v in own]
+        for _ in range(15):
+            prior, score = (sum(chance) + 1) / (len(own) + 2), {}
+            for good in (False, True):
+                weight = [c if good else 1 - c for c in chance]
+                told = []
+                for i in range(len(pii.LABELERS)):
+                    sums = {"-": 0.3 + 2.0 * (not good), "0": 0.5, "+": 0.3 + 2.0 * good}
+                    for v, w in zip(own, weight):
+                        sums[v[i]] += w
+                    told.append({c: x / sum(sums.values()) for c, x in sums.items()})
+                score[good] = [(prior if good else 1 - prior) * math.prod(t[c] for t, c in zip(told, v)) for v in own]
+            chance = [y / (y + n) for y, n in zip(score[True], score[False])]
+        assert all(abs(got[kind + v] - c) < 1e-9 for v, c in zip(own, chance))
+    w = pii.train(counted, got)
+    slope = [1e-3 * k for k in w]
+    total = sum(math.log1p(n) for _, n in counted)
+    for p, n in counted:
+        x = pii.span_features(p)
+        miss = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, w)))) - got[p]
+        slope = [g + math.log1p(n) * miss * a / total for g, a in zip(slope, x)]
+    assert max(map(abs, slope)) < 1e-7
+
+
 def test_pii(spark, docs, rows, real):
     more = [(200, "call +1 (555) 010-9999 or write to a.b@c.example.com"), (201, "phone: 555-010-1234, tel (555) 010-4321"), (202, "mail me: joe (at) site (dot) org"), (203, "card 4111 1111 1111 1111 and 1.2.3.4"), (204, "7" * 50000), (205, "a" * 50000 + "@")]
     df = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string")).withColumn("base", F.lit("clash"))
