@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja import operators
+from lonja.functions.text import tax_id
 from lonja.operators import attributes, branch, programs, ranking
 from lonja.operators.ordering import pair_metrics
 from lonja.plans import lifecycle
 from lonja.plans.lifecycle import Metric
 from lonja.sources import branches, store
 from lonja.sources.staging import staged
+from lonja.sources.tables import delimited
 
 #: The programs of each family of branches; the last family is everyone else's.
 FAMILIES = branches.Queries([("PORTALES", branch.QUERIES), ("", programs.QUERIES)])
@@ -88,19 +90,23 @@ def train_attributes(spark: SparkSession, data: str, root: str, own: str | None
         return _settled(model, figures, ATTRIBUTES, model_folder(root, own, "attributes"), force, attributes.Attributes.load)
 
 
-def infer(spark: SparkSession, data: str, root: str, own: str | None = None) -> DataFrame:
-    """Attributes of every invoice row by the branch's stored models and the resolvers."""
+def infer(spark: SparkSession, data: str, root: str, own: str | None = None, equivalents: str | None = None) -> DataFrame:
+    """Attributes of every invoice row by the branch's stored models and the resolvers.
+
+    equivalents: a delimited file of tax ids (ruc) and those that stand for them (other), one row a ruc.
+    """
     held = lifecycle.current(model_folder(root, own, "attributes"), attributes.Attributes.load)
     if held is None:
         raise FileNotFoundError(f"no attribute models have been trained in {model_folder(root, own, 'attributes')}")
-    return attributes.inferred(spark, data, held[0])
+    same = delimited(spark, equivalents).select(tax_id(F.col("ruc")).alias("ruc"), tax_id(F.col("other")).alias("other")) if equivalents else None
+    return attributes.inferred(spark, data, held[0], same)
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lonja", description="Product matching and attributes as Spark jobs.")
     commands = parser.add_subparsers(dest="command", required=True)
     helps = {"train-matcher": train_matcher.__doc__, "match": match.__doc__, "train-attributes": train_attributes.__doc__, "infer": infer.__doc__, "datasets": "Writes the branch's programs to its raw folder.", "query": "Writes one registered query.", "list": "Names the registered queries."}
-    made = {name: commands.add_parser(name, help=text, description=text) for name, text in helps.items()}
+    made = {name: commands.add_parser(name, help=text.split("\n")[0], description=text) for name, text in helps.items()}
     for name, c in made.items():
         if name != "list":
             c.add_argument("--data", required=True, help="folder of the source tables")
@@ -117,6 +123,7 @@ def _parser() -> argparse.ArgumentParser:
     made["match"].add_argument("--top-k", type=int, default=5)
     made["match"].add_argument("--candidates", type=int, default=80)
     made["match"].add_argument("--threshold", type=float, default=0.72)
+    made["infer"].add_argument("--equivalents", help="delimited file of tax ids: ruc, other")
     made["datasets"].add_argument("--overwrite", action="store_true")
     return parser
 
@@ -143,7 +150,7 @@ def main(args: Sequence[str] | None = None) -> dict:
         elif a.command == "match":
             found = match(spark, a.data, a.root, a.branch, a.top_k, a.candidates, a.threshold)
         else:
-            found = infer(spark, a.data, a.root, a.branch)
+            found = infer(spark, a.data, a.root, a.branch, a.equivalents)
         out = a.out or branches.results_path(branches.folders(a.root, a.branch)["data/results"], a.command)
         branches.save_delimited(found, out) if a.format == "csv" else found.write.parquet(out)
         report = {"written": out}

@@ -3,6 +3,7 @@
 import pytest
 
 from lonja import commands
+from lonja.operators import resolvers
 from lonja.plans import lifecycle
 from lonja.sources import branches
 
@@ -32,11 +33,20 @@ def test_train_and_infer(spark, tmp_path):
     model, figures = lifecycle.current(commands.model_folder(f"file:{tmp_path}", None, "attributes"), commands.attributes.Attributes.load)
     assert set(model.numbers) and figures["category"]["n"] > 0
     out = f"{tmp_path}/out"
-    commands.main(["infer", *at, "--out", out, "--format", "parquet"])
+    (tmp_path / "same.csv").write_text("ruc;other\n1;2\n2;1\n")
+    commands.main(["infer", *at, "--out", out, "--format", "parquet", "--equivalents", f"{tmp_path}/same.csv"])
     got = spark.read.parquet(out)
     assert got.count() > 0 and got.filter("factor_sale < 1 OR factor_case < factor_sale").isEmpty()
 
 
+def test_catalogue_under_equivalent_ids(spark):
+    master = spark.createDataFrame([("A", "1"), ("B", "2"), ("C", "3")], "RucProveedor string, CodProducto string")
+    sought = lambda *pairs: sorted(tuple(r) for r in resolvers.as_sought(master, spark.createDataFrame(list(pairs), "ruc string, other string")).collect())
+    assert sought(("A", "B"), ("B", "A")) == [("A", "2"), ("B", "1"), ("C", "3")]
+    assert sought(("D", "C"), ("E", "C")) == [("A", "1"), ("B", "2"), ("C", "3"), ("D", "3"), ("E", "3")]
+    assert sought() == [("A", "1"), ("B", "2"), ("C", "3")]
+
+
 def test_datasets_by_family(spark, tmp_path):
     rows = commands.main(["datasets", "--data", SF, "--root", str(tmp_path), "--branch", "los portales"])["rows"]
     assert sorted(rows) == ["branch_auto_match", "branch_conversions", "branch_invoices", "branch_master"]
