@@ -13,8 +13,8 @@ probability, laid so that 0.3 is the cut that best separates them.
 Which slots count is decided from document frequencies over all training documents and all confirmed toxic
 ones. E_U runs over every training document and E_P over every confirmed toxic one: documents with the same
 telling slots are one row with counts. Rows with up to `most_entries` slots in all are fitted on the driver, more by sums over
-blocks in the executors, step by step with the same result. Only then the cut is taken from a bounded sample of
-labels, up to `most_labelled` distinct bags of each class. What reaches the driver at once is those rows, the
+blocks in the executors, step by step with the same result. The cut is taken from all labels of the training folds in
+either case, in executors by running sums over ranges of f. What reaches the driver at once is those rows, the
 frequencies of slots (2 ** BITS at most) and the gradient. Scoring runs over every whole text with a weight
 vector of fixed size.
 
@@ -130,6 +130,26 @@ def calibrated(f: np.ndarray, toxic: np.ndarray, known: np.ndarray) -> tuple[flo
     return float(np.clip(4.0 / (spread + 1e-6), 0.2, 5.0)), cut
 
 
+def spread_calibrated(scored: DataFrame) -> tuple[float, float]:
+    """`calibrated` of a table (f, p, known) of any size, whole: p of the `known` labels of a row are toxic."""
+    from lonja.operators.ordering import with_running  # not for the workers, which import this module too
+
+    values = written(scored.groupBy("f").agg(F.sum("p").alias("p"), F.sum("known").alias("known")), "values")
+    every = values.agg(F.sum("p").alias("p"), F.sum("known").alias("known"), F.max("f").alias("most"), F.min("f").alias("least"), F.sum(F.col("known") * F.col("f")).alias("f")).first()
+    if not every.p or every.most == every.least:
+        discarded(values)
+        return 1.0, max(0.0, every.most or 0.0) + 20.0
+    ranked = with_running(values, [F.desc("f")], {"hit": F.col("p"), "ranks": F.col("known")})
+    best = ranked.orderBy(F.desc(2 * F.col("hit") / (F.col("ranks") + every.p)), F.desc("f")).first().f
+    discarded(ranked)
+    mean = every.f / every.known
+    after = F.max(F.when(F.col("f") < best, F.col("f"))).alias("after")
+    rest = values.agg(after, F.sum(F.col("known") * (F.col("f") - mean) * (F.col("f") - mean)).alias("squares")).first()
+    discarded(values)
+    spread = np.sqrt(rest.squares / every.known)
+    return float(np.clip(4.0 / (spread + 1e-6), 0.2, 5.0)), (best + (best - 1.0 if rest.after is None else rest.after)) / 2
+
+
 def fold(of: str, parts: int):
     return F.pmod(F.crc32(F.col(of).cast("string").cast("binary")), F.lit(parts))
 
@@ -194,7 +214,7 @@ def spread_sums(rows: DataFrame) -> tuple[Callable[[np.ndarray, float], np.ndarr
     return sums, parts.unpersist
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_entries: int = 8_000_000, parts: int = 4, held: int = 2):
+def learn(docs: DataFrame, labels: DataFrame, most_entries: int = 8_000_000, parts: int = 4, held: int = 2):
     """(weights, bias, scale, cut) from the folds that are not held out; None if no label is toxic there."""
     folds = F.coalesce(fold("doc_id", parts) != held, F.lit(False))
     own = labels.filter(F.col("toxic").isNotNull() & folds).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -225,28 +245,27 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_en
     rows = rows.groupBy("bag").agg(F.count("*").alias("u"), F.count("toxic").alias("known"), F.count(F.when(F.col("toxic") == 1, 1)).alias("p"))
     rows = written(rows, "bags")
     as_bags = lambda column: [np.frombuffer(x, "<i4").astype(np.int64) for x in column]
+    values = lambda column, w, b: np.array([w[s].sum() + b for s in as_bags(column)])
     if (rows.agg(F.sum(F.octet_length("bag"))).first()[0] or 0) // 4 <= most_entries:
         got = rows.toPandas().sort_values("bag", kind="stable")
         whole_table = block(as_bags(got["bag"]), got["p"].to_numpy(), got["u"].to_numpy())
         w, b = fit_nnpu(lambda w, b: risk_sums(whole_table, w, b), len(telling), toxic, every, prior)
-        got, scales = got[got["known"] > 0], (1.0, 1.0)
+        got = got[got["known"] > 0]
+        laid = calibrated(values(got["bag"], w, b), got["p"].to_numpy(float), got["known"].to_numpy(float))
     else:
         sums, free = spread_sums(rows)
         w, b = fit_nnpu(sums, len(telling), toxic, every, prior)
         free()
-        # Of each class some distinct bags, weighed so that they stand for all labels of the class.
-        some = lambda c: rows.filter(f"{c} > 0").orderBy(F.xxhash64("bag"), "bag").limit(most_labelled).toPandas()
-        sums_of = rows.agg(F.sum("p").alias("p"), F.sum(F.col("known") - F.col("p")).alias("clean")).first()
-        bad, good = some("p").assign(clean=0), some("(known - p)").assign(clean=lambda x: x["known"] - x["p"], p=0)
-        got = pd.concat([bad, good], ignore_index=True)
-        got["known"] = got["p"] + got["clean"]
-        scales = (sums_of.p / max(1, got["p"].sum()), sums_of.clean / max(1, got["clean"].sum()))
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"f": values(pdf["bag"], w, b), "p": pdf["p"], "known": pdf["known"]})
+
+        laid = spread_calibrated(rows.filter("known > 0").select("bag", "p", "known").mapInPandas(scored, "f double, p long, known long"))
     discarded(rows)
-    f = np.array([w[s].sum() + b for s in as_bags(got["bag"])])
-    bad, good = got["p"].to_numpy() * scales[0], (got["known"] - got["p"]).to_numpy() * scales[1]
     weights = np.zeros(1 << BITS, np.float32)
     weights[telling] = w
-    return weights, b, *calibrated(f, bad, bad + good)
+    return weights, b, *laid
 
 
 def score(docs: DataFrame, model, parts: int = 4, held: int = 2) -> DataFrame:
