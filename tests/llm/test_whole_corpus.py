@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lonja.llm import suffix_dedup, toxicity
 
 
@@ -74,6 +76,17 @@ def test_toxicity_cut_is_taken_from_all_labels(spark):
     np.testing.assert_allclose(model[2:], of_all_labels(model, rows), rtol=1e-4)
 
 
+def test_pipeline_takes_the_cut_from_all_labels(spark, tmp_path, monkeypatch):
+    """A corpus beyond what is fitted on the driver: the stage keeps what lies below the cut of all training labels."""
+    docs, labels, rows = many_bags(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    models, learn = [], toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a: models.append(learn(*a, most_entries=0)) or models[-1])
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    np.testing.assert_allclose(models[0][2:], of_all_labels(models[0], [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]), rtol=1e-4)
+    assert left == {r.doc_id for r in toxicity.score(docs, models[0]).filter("predicted = 0").collect()} and len(left) < len(rows)
+
+
 def test_large_digits_are_not_refined_in_one_task(spark, monkeypatch):
     """One passage in every document with differing surroundings, and a periodic text: as before, but by no group held in a task."""
     rng = random.Random(2)
