@@ -35,6 +35,7 @@ from lonja.llm.common import discarded, whole, written
 DEPTH, GRAM = 50, 16
 _U = np.uint64
 _FEW = 1 << 21  # bytes or rows handled at once inside a task
+_CHUNK = 1 << 16  # bytes of short texts looked at together: fewer than 2 ** 15 of them
 LARGE = 1 << 22  # bytes of contexts: a digit with more is not refined in one task
 
 
@@ -62,15 +63,36 @@ def digits(text: bytes, depth: int = DEPTH, gram: int = GRAM) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if step < width else h
 
 
-def runs(text: bytes, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digit, first window, number of windows) of each run of windows with one digit."""
-    d = digits(text, depth)
-    first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-    return d[first].astype(np.int64), first, np.diff(np.append(first, len(d)))
-
-
-def refine(group: np.ndarray, contexts: list[bytes], owner: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
-    """For each context, the smallest owner of each of its windows among contexts of its group."""
+def runs_of(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """Some texts' numbers, and of their runs (which of these texts, digit, first window, number of windows): short ones are looked at together."""
+    own = [i for i, t in enumerate(texts) if len(t) >= depth]
+    size = np.array([len(texts[i]) for i in own], np.int64)
+    chunk = np.cumsum(size) // _CHUNK
+    for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(chunk)) + 1) if own else ():
+        d, n = digits(b"".join([texts[own[i]] for i in part]), depth), size[part]
+        begin = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(part)), n)[: len(d)]
+        end = (begin + n - depth + 1)[of]  # windows that reach into the next text are none
+        new = np.append(True, d[1:] != d[:-1])
+        new[begin] = True
+        first = np.flatnonzero(new)
+        stop = np.minimum(np.append(first[1:], len(d)), end[first])
+        first, stop = first[some := first < stop], stop[some]
+        yield np.asarray(own)[part], of[first], d[first].astype(np.int64), first - begin[of[first]], stop - first
+
+
+def together(key: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """An order in which rows of equal key and digit are neighbours."""
+    mixed = digit * _U(0x9E3779B97F4A7C15) + key.astype(_U)
+    order = np.argsort(mixed)
+    m, k, g = mixed[order], key[order], digit[order]
+    if ((m[1:] == m[:-1]) & ((k[1:] != k[:-1]) | (g[1:] != g[:-1]))).any():  # two pairs with one number
+        return np.lexsort((digit, key))
+    return order
+
+
+def refine(group: np.ndarray, contexts: list[bytes], owner: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest owner of each window of all contexts among contexts of its group, the window's context, and each context's first window."""
     size = np.array([len(c) - depth + 1 for c in contexts])
     starts = np.cumsum([0, *map(len, contexts[:-1])])
     a = eights(np.frombuffer(b"".join(contexts) + bytes(8), np.uint8))
@@ -78,23 +100,36 @@ def refine(group: np.ndarray, contexts: list[bytes], owner: np.ndarray, depth: i
     begin = np.cumsum(np.append(0, size[:-1]))
     place = starts[of] + np.arange(size.sum()) - begin[of]
     least = owner[of].copy()
-    live, key = np.arange(len(of)), group[of]
+    live = np.flatnonzero((np.bincount(group) > 1)[group][of])  # a context alone in its group meets no other owner
+    key = group[of[live]]
     for at in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:  # the digits below the first
+        if not len(live):
+            break
         digit = a[place[live] + at]
-        order = np.lexsort((digit, key))
+        order = together(key, digit)
         k, g = key[order], digit[order]
         new = np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1]))
         number = np.cumsum(new) - 1
         several = np.bincount(number)[number] > 1
         live, key = live[order[several]], number[several]
-        if not len(live):
-            break
     if len(live):
         order = np.argsort(key, kind="stable")
         live, key = live[order], key[order]
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         least[live] = np.repeat(np.minimum.reduceat(owner[of[live]], cut), np.diff(np.append(cut, len(key))))
-    return np.split(least, begin[1:])
+    return least, of, begin
+
+
+def spans_of(least: np.ndarray, of: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Stretches of one owner in each context, as three 64-bit numbers each (first window, the one behind the last, owner), the
+    number of the first stretch of each context with the number of all behind them, and the stretches' owners."""
+    new = np.append(True, least[1:] != least[:-1])
+    new[begin] = True
+    cut = np.flatnonzero(new)
+    stop = np.append(cut[1:], len(least))
+    shift = begin[of[cut]]
+    spans = np.stack([cut - shift, stop - shift, least[cut]], axis=1).astype("<i8").tobytes()
+    return spans, np.append(np.searchsorted(cut, begin), len(cut)), least[cut]
 
 
 def _parts(batches: Iterator[pd.DataFrame], weigh: str) -> Iterator[pd.DataFrame]:
@@ -107,33 +142,33 @@ def _parts(batches: Iterator[pd.DataFrame], weigh: str) -> Iterator[pd.DataFrame
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in _parts(batches, "text"):
-        own = [np.unique(runs(t)[0]) for t in map(bytes, pdf["text"])]
-        n = [len(x) for x in own]
-        yield pd.DataFrame({"digit": np.concatenate(own), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), n), "v": np.repeat(pdf["v"].to_numpy(), n)})
+        doc_id, v = pdf["doc_id"].to_numpy(), pdf["v"].to_numpy()
+        for number, of, digit, *_ in runs_of([bytes(t) for t in pdf["text"]]):
+            once = np.unique(of << 48 | digit)  # digits have 48 bits, and few texts are looked at together
+            text = number[once >> 48]
+            yield pd.DataFrame({"digit": once & ((1 << 48) - 1), "doc_id": doc_id[text], "v": v[text]})
 
 
 def _with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in _parts(batches, "text"):
-        out = []
-        for doc_id, v, text, shared in zip(pdf["doc_id"], pdf["v"], map(bytes, pdf["text"]), pdf["digits"]):
-            d, first, n = runs(text)
-            for i in np.flatnonzero(np.isin(d, np.asarray(shared))):
-                s = int(first[i])
-                out.append((d[i], text[s : s + int(n[i]) + DEPTH - 1], doc_id, v, s))
-        yield pd.DataFrame(out, columns=["digit", "context", "doc_id", "v", "start"])
+        doc_id, v, texts, shared = pdf["doc_id"].to_numpy(), pdf["v"].to_numpy(), [bytes(t) for t in pdf["text"]], pdf["digits"].to_numpy()
+        for number, of, digit, first, n in runs_of(texts):
+            wanted = np.concatenate([np.asarray(shared[i], np.int64) | at << 48 for at, i in enumerate(number)])
+            found = np.flatnonzero(np.isin(of << 48 | digit, wanted))
+            text, first, stop = number[of[found]], first[found], (first + n)[found] + DEPTH - 1
+            contexts = [texts[i][a:b] for i, a, b in zip(text.tolist(), first.tolist(), stop.tolist())]
+            yield pd.DataFrame({"digit": digit[found], "context": contexts, "doc_id": doc_id[text], "v": v[text], "start": first})
 
 
 def _later_passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by digit; whole groups are refined together, many small ones at a time."""
 
     def done(pdf: pd.DataFrame) -> pd.DataFrame:
-        contexts, own, out = [bytes(c) for c in pdf["context"]], pdf["least"].to_numpy(), []
-        found = refine(pd.factorize(pdf["digit"])[0], contexts, own)
-        for digit, c, o, n, m in zip(pdf["digit"], pdf["mark"], own, pdf["n"], found):
-            if n > 1 or (m != o).any():
-                cut = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-                out.append((digit, c, np.stack([cut, np.append(cut[1:], len(m)), m[cut]], axis=1).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["digit", "mark", "spans"])
+        contexts, own, n = [bytes(c) for c in pdf["context"]], pdf["least"].to_numpy(), pdf["n"].to_numpy()
+        least, of, begin = refine(pd.factorize(pdf["digit"])[0], contexts, own)
+        spans, at, taken = spans_of(least, of, begin)
+        kept = np.flatnonzero((n > 1) | np.logical_or.reduceat(taken != np.repeat(own, np.diff(at)), at[:-1]))
+        return pd.DataFrame({"digit": pdf["digit"].to_numpy()[kept], "mark": pdf["mark"].to_numpy()[kept], "spans": [spans[i:j] for i, j in zip((at[kept] * 24).tolist(), (at[kept + 1] * 24).tolist())]})
 
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -184,12 +219,12 @@ def spread_spans(large: DataFrame) -> DataFrame:
 
 def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for doc_id, v, s, spans in zip(pdf["doc_id"], pdf["v"], pdf["start"], pdf["spans"]):
-            for a, b, m in np.frombuffer(spans, "<i8").reshape(-1, 3).tolist():
-                if m < doc_id:
-                    out.append((doc_id, v, s + a, s + b - 1 + DEPTH))
-        yield pd.DataFrame(out, columns=["doc_id", "v", "a", "b"])
+        spans = np.frombuffer(b"".join(map(bytes, pdf["spans"])), "<i8").reshape(-1, 3)
+        of = np.repeat(np.arange(len(pdf)), pdf["spans"].map(len).to_numpy(np.int64) // 24)
+        lower = np.flatnonzero(spans[:, 2] < pdf["doc_id"].to_numpy()[of])
+        of, spans = of[lower], spans[lower]
+        start = pdf["start"].to_numpy(np.int64)[of]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[of], "v": pdf["v"].to_numpy()[of], "a": start + spans[:, 0], "b": start + spans[:, 1] - 1 + DEPTH})
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -106,3 +107,47 @@ def test_large_digits_are_not_refined_in_one_task(spark, monkeypatch):
     assert got == want and sum(r[2] > 0 for r in got) >= 80
     assert len(sent) > 1 and all(r[1] > 300 for r in sent)
     assert spark.createDataFrame(rows[:1], "doc_id long, text string").transform(suffix_dedup.repeated_passages).first()["kept_sha256"] == hashlib.sha256(rows[0][1].encode()).hexdigest()
+
+
+def test_runs_of_texts_looked_at_together_are_those_of_each(monkeypatch):
+    """Empty texts, texts of just below and just the window's length, repeats and a long one, in groups of any size."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 49, 50, 51, 700, 0, 120, 50, 5000, 49)] + [b"x" * 300, b"x" * 300]
+    want = []
+    for i, t in enumerate(texts):
+        d = suffix_dedup.digits(t).tolist()
+        cut = [j for j in range(len(d)) if not j or d[j] != d[j - 1]]
+        want += [(i, d[j], j, k - j) for j, k in zip(cut, cut[1:] + [len(d)])]
+    for size in (1, 200, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "_CHUNK", size)
+        got = [row for number, of, *rest in suffix_dedup.runs_of(texts) for row in zip(number[of].tolist(), *(x.tolist() for x in rest))]
+        assert got == want
+    assert list(suffix_dedup.runs_of([b"", b"y" * 49])) == []
+
+
+def test_equal_keys_are_neighbours_whatever_their_mixture():
+    key, digit = np.array([0x9E3779B97F4A7C15 - 2**64, 0] * 3), np.array([0, 1] * 3, np.uint64)  # both pairs make one number
+    order = suffix_dedup.together(key, digit)
+    assert (np.diff(digit[order].astype(int)) != 0).sum() == 1
+
+
+def test_later_passes_find_what_comparison_of_all_windows_finds():
+    """Groups with one context and with many, stretches that change owner, and batches that cut groups."""
+    rng = random.Random(7)
+    some = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(4)]
+    rows = [(digit, mark, b"".join(rng.sample(some, 3))[rng.randrange(40) :], rng.randrange(50), rng.randrange(1, 3)) for digit in range(40) for mark in range(rng.choice((1, 1, 5)))]
+    least = {}
+    for digit, _, c, own, _ in rows:
+        for i in range(len(c) - 49):
+            least[digit, c[i : i + 50]] = min(own, least.get((digit, c[i : i + 50]), own))
+    want = {}
+    for digit, mark, c, own, n in rows:
+        m = [least[digit, c[i : i + 50]] for i in range(len(c) - 49)]
+        cut = [i for i in range(len(m)) if not i or m[i] != m[i - 1]]
+        if n > 1 or set(m) != {own}:
+            want[digit, mark] = [(i, j, m[i]) for i, j in zip(cut, cut[1:] + [len(m)])]
+    pdf = pd.DataFrame(rows, columns=["digit", "mark", "context", "least", "n"])
+    for batch in (1, 7, 1000):
+        out = pd.concat(suffix_dedup._later_passes(pdf.iloc[i : i + batch].reset_index(drop=True) for i in range(0, len(pdf), batch)))
+        got = {(d, m): list(map(tuple, np.frombuffer(x, "<i8").reshape(-1, 3).tolist())) for d, m, x in zip(out["digit"], out["mark"], out["spans"])}
+        assert got == want and len(out) == len(want)
