@@ -6,6 +6,8 @@ what becomes of them stands in the docstring of its module: toxicity, exact_dedu
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lonja.llm import exact_dedup, minhash, mixing, packing, toxicity
@@ -13,9 +15,9 @@ from lonja.llm.common import documents, written
 from lonja.llm.queries import byte_bpe
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, **folds) -> DataFrame:
+    """Documents that the classifier rejects go; `folds` are those of `toxicity.learn`."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), **folds))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.encoded(docs, byte_bpe()))
 
 
+#: The pipeline measures no model, so its toxicity stage learns from every document and label.
 STAGES = [
-    ("toxicity", drop_toxic),
+    ("toxicity", partial(drop_toxic, held=None)),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),

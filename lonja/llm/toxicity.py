@@ -21,11 +21,14 @@ vector of fixed size.
 Labelled negatives serve two numbers only, the class prior and the place of the cut; weights come from
 positives and unlabelled rows alone.
 
+Folds are held out for measuring the model, as op2's query does. With `held` None nothing is: all documents, those
+without a doc_id among them, and all labels are what is called training here, as in the pipeline.
+
 Defined results: null text counts as empty; a very long text is one bag of its distinct slots, read whole; a text without words gets the score of the bias, and with no
 toxic label to learn from every score is 0; with labels but no word that tells toxic texts from others,
 none is rejected. Rows that repeat are scored each; of labels that repeat a
-doc_id the largest counts. Null doc_id is in no fold: never held out, never learnt from. Further columns may
-have any name; `keep_clean` returns them as they are. No rows give no rows.
+doc_id the largest counts. Null doc_id is in no fold: never held out, learnt from only where nothing is, as unlabelled;
+a label without doc_id never counts. Further columns may have any name; `keep_clean` returns them as they are. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -214,10 +217,10 @@ def spread_sums(rows: DataFrame) -> tuple[Callable[[np.ndarray, float], np.ndarr
     return sums, parts.unpersist
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_entries: int = 8_000_000, parts: int = 4, held: int = 2):
-    """(weights, bias, scale, cut) from the folds that are not held out; None if no label is toxic there."""
-    folds = F.coalesce(fold("doc_id", parts) != held, F.lit(False))
-    own = labels.filter(F.col("toxic").isNotNull() & folds).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, most_entries: int = 8_000_000, parts: int = 4, held: int | None = 2):
+    """(weights, bias, scale, cut) from the folds that are not held out, from all rows if held is None; None if no label is toxic there."""
+    folds = F.lit(True) if held is None else F.coalesce(fold("doc_id", parts) != held, F.lit(False))
+    own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & folds).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = own.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("p")).first()
     if not counts.p:
         return None

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -88,6 +89,24 @@ def test_pipeline_takes_the_cut_from_all_labels(spark, tmp_path, monkeypatch):
     assert left == {r.doc_id for r in toxicity.score(docs, models[0]).filter("predicted = 0").collect()} and len(left) < len(rows)
 
 
+@pytest.mark.parametrize("most_entries", [8_000_000, 0])
+def test_pipeline_learns_from_every_document_and_label(spark, tmp_path, monkeypatch, most_entries):
+    """As the pipeline runs its stage, no fold is left out: cut by all labels, frequencies of all documents, those without a doc_id too."""
+    docs, labels, rows = many_bags(spark)
+    last = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2 and i % 8 == 0}
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(last), F.concat("text", F.lit(" quxword"))).otherwise(F.col("text")))
+    rows = [(i, bad, text + " quxword" * (i in last)) for i, bad, text in rows]
+    docs = docs.unionByName(spark.createDataFrame([(None, "quxword")] * 5, docs.schema))
+    labels.unionByName(spark.createDataFrame([(None, 1)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    models, counts, learn, fit = [], [], toxicity.learn, toxicity.fit_nnpu
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: models.append(learn(*a, most_entries=most_entries, **k)) or models[-1])
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda *a: counts.append(a[2:5]) or fit(*a))
+    left = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path))
+    np.testing.assert_allclose(models[0][2:], of_all_labels(models[0], rows), rtol=1e-4)
+    assert counts == [(3000, 24005, 0.125)] and models[0][0][toxicity.slots_of("quxword", toxicity.WordSlots())[0]] > 0
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in toxicity.score(docs, models[0]).filter("predicted = 0").collect()}
+
+
 def test_large_digits_are_not_refined_in_one_task(spark, monkeypatch):
     """One passage in every document with differing surroundings, and a periodic text: as before, but by no group held in a task."""
     rng = random.Random(2)
