@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lonja.functions.text import label
 from lonja.operators.catalogue import half_up
-from lonja.operators.matching import ranked, sides_of
+from lonja.operators.matching import ranked, rows_of
 from lonja.sources.tables import table
 
 PADDING, UNKNOWN, START = 0, 1, 2
@@ -74,7 +74,7 @@ NUMBERS = ("cost_log", "weight", "factor_log", "content_log", "total_log")
 
 def numeric_normaliser(spark: SparkSession, d: str) -> DataFrame:
     """Mean and variance of the sides' numbers, and how far the values lie from the mean at most, over both relations."""
-    facts, master = sides_of(spark, d)
+    facts, master = rows_of(spark, d)
     each = lambda df, p: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{p}_{c}").alias("value")) for c in NUMBERS])).alias("x")).select("x.*")
     values = each(facts, "f").unionByName(each(master, "m"))
     fitted = fit_normaliser(values)
